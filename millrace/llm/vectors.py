@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ..runtime import materialise
 
 PREFIX = 8
+#: Marks of rows whose file was not cut, and of rows that meet the rows of their own block.
+NOT_CUT, WITHIN = -2, -1
 
 
 def unit_vectors(df: DataFrame, id_col: str, model_col: str, vector: Column, dim: int = 64) -> DataFrame:
@@ -83,7 +85,7 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross
         d += 1
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int = 512, posted: int = 6, key_pivots: int = 3, max_footrule: int = 44, block: int = 4096) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int = 1024, posted: int = 5, key_pivots: int = 2, max_footrule: int = 48, block: int = 4096) -> DataFrame:
     """The k most similar vectors of the same model for every vector: (id, other, cosine, rank).
 
     ``vectors`` comes from :func:`unit_vectors`. Equal vectors form one class, searched once and expanded at
@@ -94,34 +96,35 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("cid", F.xxhash64("model", F.transform("vec", lambda x: F.round(x, 4) + F.lit(0.0).cast("float"))))
-    rows = materialise(rows)
-    classes = rows.groupBy("cid").agg(F.min_by(F.struct("model", "vec"), "id").alias("r")).select("cid", "r.model", "r.vec")
-    classes = materialise(classes)
+    classes = materialise(rows.groupBy("cid").agg(F.min_by(F.struct("model", "vec"), "id").alias("r")).select("cid", "r.model", "r.vec"))
+    rows = rows.select("cid", "id").distinct()
     chosen = classes.select("vec", F.xxhash64("cid").alias("h")).orderBy("h").limit(pivots).collect()
-    found = "a bigint, b bigint"
     if len(chosen) < key_pivots:
         pairs = classes.select(F.col("cid").alias("a"), "model").join(classes.select(F.col("cid").alias("b"), "model"), "model").where("a < b").select("a", "b")
     else:
-        pairs = _candidates(classes, np.array([r.vec for r in chosen], dtype=np.float32), min(posted, len(chosen)), key_pivots, max_footrule, block, found)
-    va, vb = classes.select(F.col("cid").alias("a"), F.col("vec").alias("va")), classes.select(F.col("cid").alias("b"), F.col("vec").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    scored = pairs.join(va, "a").join(vb, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cos)
+        pairs = _candidates(classes, np.array([r.vec for r in chosen], dtype=np.float32), min(posted, len(chosen)), key_pivots, max_footrule, block)
+    # One pass over the vectors serves both ends of the pairs.
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cid")).join(classes.select("cid", "vec"), "cid")
+    met = ends.groupBy("a", "b").agg(F.collect_list("vec").alias("v")).where(F.size("v") == 2)
+    dot = F.aggregate(F.zip_with(F.col("v")[0], F.col("v")[1], lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
+    scored = met.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= min_cos)
     both = scored.select("a", "b", "cosine").union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     # The k nearest classes hold the k nearest vectors; of each class its k + 1 smallest ids are enough.
     nearest = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k).drop("r")
-    heads = rows.select("cid", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
+    heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
     members = heads.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     own = members.select(F.col("cid").alias("a"), F.lit(1.0).cast("double").alias("cosine"), "ids").where(F.size("ids") > 1)
     near = nearest.join(members.withColumnRenamed("cid", "b"), "b").select("a", "cosine", "ids")
     lists = own.unionByName(near).groupBy("a").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
-    seen = rows.select(F.col("cid").alias("a"), "id").distinct().join(lists, "a")
+    seen = rows.select(F.col("cid").alias("a"), "id").join(lists, "a")
     flat = F.flatten(F.transform("lists", lambda p: F.transform(p["ids"], lambda i: F.struct((-p["cosine"]).alias("d"), i.alias("other")))))
     top = F.slice(F.array_sort(F.filter(flat, lambda x: x["other"] != F.col("id"))), 1, k)
     out = seen.select("id", F.posexplode(top).alias("pos", "x"))
     return out.select("id", F.col("x.other").alias("other"), (-F.col("x.d")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
-def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots: int, max_footrule: int, block: int, found: str) -> DataFrame:
+def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots: int, max_footrule: int, block: int) -> DataFrame:
+    """Distinct pairs of classes that meet in an inverted file and whose pivot orders are near each other."""
     combos = np.array(list(itertools.combinations(range(posted), key_pivots)))
     share = classes.sparkSession.sparkContext.broadcast(pivot)
 
@@ -139,38 +142,68 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
             key = np.zeros((len(v), len(combos)), dtype=np.int64)
             for c in range(key_pivots):
                 key = key * len(p) + near[:, combos[:, c]]
-            raw = perm.tobytes()
-            w = PREFIX * 2
-            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), len(combos)), "model": np.repeat(pdf["model"].to_numpy(), len(combos)), "pk": key.ravel(), "perm": np.repeat(np.array([raw[x * w : x * w + w] for x in range(len(v))], dtype=object), len(combos))})
-
-    postings = classes.mapInPandas(post, "cid bigint, model string, pk bigint, perm binary").select(F.xxhash64("model", "pk").alias("key"), "cid", "perm")
-    hot = postings.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    marked = postings.join(hot, "key", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), "blocks")).cast("int"))
-    # A row of a long file visits each pair of blocks that its own block is part of.
-    visits = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = marked.select("key", "cid", "perm", "own", F.explode(visits).alias("other"))
-    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "perm", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
-    # Rows within one block meet once, in the task (own, own); elsewhere only rows of different sides meet.
+            packed = np.repeat(perm.view(np.int64), len(combos), axis=0)
+            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), len(combos)), "model": np.repeat(pdf["model"].to_numpy(), len(combos)), "pk": key.ravel(), "p0": packed[:, 0], "p1": packed[:, 1]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs of each file of the sorted rows; the rows of a file longer than a block are passed on (a null)."""
         rest: list[pd.DataFrame] = []
+        held, passing = 0, None
+
+        def pairs(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            perms = np.ascontiguousarray(done[["p0", "p1"]].to_numpy()).view(np.uint16)
+            side = done["side"].to_numpy()
+            got = list(_footrule_pairs(done["key"].to_numpy(), done["cid"].to_numpy(), perms, side >= 0, side, max_footrule))
+            if got:
+                u = np.unique(np.concatenate(got), axis=0)
+                yield pd.DataFrame({"a": u[:, 0], "b": u[:, 1], "key": 0, "p0": 0, "p1": 0})
+
+        def long_rows(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"a": rows["cid"], "b": None, "key": rows["key"], "p0": rows["p0"], "p1": rows["p1"]}).astype({"b": "Int64"})
+
         for pdf in itertools.chain(batches, [None]):
             if pdf is not None and len(pdf):
+                if passing is not None:
+                    cut = int(np.searchsorted(pdf["key"].to_numpy(), passing, side="right"))
+                    if cut:
+                        yield long_rows(pdf.iloc[:cut])
+                    if cut == len(pdf):
+                        continue
+                    pdf, passing = pdf.iloc[cut:], None
                 rest.append(pdf)
-                if rest[0]["key"].iat[0] == pdf["key"].iat[-1] or sum(map(len, rest)) < 20_000:
+                held += len(pdf)
+                if held < 20_000:
                     continue
             if not rest:
                 continue
-            whole = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
-            cut = len(whole) if pdf is None else int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iat[-1]))
-            done, rest = whole.iloc[:cut], [whole.iloc[cut:]] if cut < len(whole) else []
-            if len(done) < 2:
-                continue
-            perms = np.frombuffer(b"".join(done["perm"]), dtype=np.uint16).reshape(len(done), PREFIX)
-            side = done["side"].to_numpy()
-            got = list(_footrule_pairs(done["key"].to_numpy(), done["cid"].to_numpy(), perms, side >= 0, side, max_footrule))
-            if got:
-                u = np.unique(np.concatenate(got), axis=0)
-                yield pd.DataFrame({"a": u[:, 0], "b": u[:, 1]})
-
-    return tasks.repartition("key").sortWithinPartitions("key").mapInPandas(meet, found).distinct()
+            whole = pd.concat(rest, ignore_index=True)
+            keys = whole["key"].to_numpy()
+            cut = len(whole) if pdf is None else int(np.searchsorted(keys, keys[-1]))
+            done, open_file = whole.iloc[:cut], whole.iloc[cut:]
+            at, size = np.unique(done["key"].to_numpy(), return_counts=True)
+            for k in at[(size > block) & (done["side"].iat[0] == NOT_CUT if len(done) else False)]:
+                yield long_rows(done[done["key"] == k])
+                done = done[done["key"] != k]
+            if len(done) > 1:
+                yield from pairs(done)
+            if len(open_file) > block and open_file["side"].iat[0] == NOT_CUT:
+                passing = open_file["key"].iat[0]
+                yield long_rows(open_file)
+                open_file = open_file.iloc[:0]
+            rest, held = ([open_file], len(open_file)) if len(open_file) else ([], 0)
+
+    postings = classes.mapInPandas(post, "cid bigint, model string, pk bigint, p0 bigint, p1 bigint").select(F.xxhash64("model", "pk").alias("key"), "cid", "p0", "p1", F.lit(NOT_CUT).alias("side"))
+    schema = "a bigint, b bigint, key bigint, p0 bigint, p1 bigint"
+    first = materialise(postings.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).distinct())
+    met = first.where("b is not null").select("a", "b")
+    long = first.where("b is null")
+    if long.isEmpty():
+        return met
+    # Long files: blocks by hash of the class; each row visits the tasks of all pairs of blocks with its own block.
+    blocks = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    marked = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    tasks = marked.select("key", F.col("a").alias("cid"), "p0", "p1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # Rows within one block meet once, in the task (own, own); elsewhere only rows of different sides meet.
+    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "p0", "p1", F.when(F.col("own") == F.col("other"), F.lit(WITHIN)).otherwise(F.col("own")).alias("side"))
+    second = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).select("a", "b")
+    return met.unionByName(second).distinct()
