@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,7 +10,9 @@ from ..operators import tables
 from ..runtime import read_table
 from .registry import query
 
-RUN = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_run() -> WindowSpec:
+    """The events of a run in order."""
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def _events(spark: SparkSession, base: str) -> DataFrame:
@@ -19,7 +21,7 @@ def _events(spark: SparkSession, base: str) -> DataFrame:
 
 def streaks(events: DataFrame) -> DataFrame:
     """Events with ``streak``: the number of errors in a row up to and with this one, 0 for others."""
-    island = events.withColumn("island", F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(RUN))
+    island = events.withColumn("island", F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(by_run()))
     w = Window.partitionBy("user_id", "island").orderBy("ts", "event_id")
     return island.withColumn("streak", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(w)).drop("island")
 
@@ -59,21 +61,21 @@ def w12_bounded_history(spark: SparkSession, base: str) -> DataFrame:
 @query("with e as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events), f as (select user_id, min(i) as first_error from e where event_type = 'error' group by 1) select event_id, 'kept' as part from e left join f using (user_id) where first_error is null or i < first_error union all select event_id, 'replaced' from e join f using (user_id) where i >= first_error")
 def w15_retained_prefix(spark: SparkSession, base: str) -> DataFrame:
     """The part of each run before its first error is kept, the rest is replaced."""
-    seen = F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(RUN.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(by_run().rowsBetween(Window.unboundedPreceding, 0))
     return _events(spark, base).select("event_id", F.when(seen == 1, "replaced").otherwise("kept").alias("part"))
 
 
 @query("select c.event_id, exists (select 1 from events p where p.user_id = c.user_id and p.event_type = 'error' and (p.ts < c.ts or p.ts = c.ts and p.event_id < c.event_id)) as after_error from events c where c.event_type = 'purchase'")
 def j15_any_earlier(spark: SparkSession, base: str) -> DataFrame:
     """Whether an error came before each purchase of a run: a running maximum in place of a join on inequality."""
-    before = F.coalesce(F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(RUN.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    before = F.coalesce(F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(by_run().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
     return _events(spark, base).withColumn("after_error", before).where("event_type = 'purchase'").select("event_id", "after_error")
 
 
 @query("select p.event_id, arg_max(v.event_id, (v.ts, v.event_id)) as last_view from events p join events v on p.user_id = v.user_id and v.event_type = 'view' and (v.ts < p.ts or v.ts = p.ts and v.event_id < p.event_id) where p.event_type = 'purchase' group by p.event_id")
 def j15_as_of(spark: SparkSession, base: str) -> DataFrame:
     """The last view before each purchase (as-of join by a running last value)."""
-    last = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(RUN.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(by_run().rowsBetween(Window.unboundedPreceding, -1))
     return _events(spark, base).withColumn("last_view", last).where("event_type = 'purchase' and last_view is not null").select("event_id", "last_view")
 
 
@@ -84,7 +86,7 @@ def j15_as_of(spark: SparkSession, base: str) -> DataFrame:
 def g29_run_verdict(spark: SparkSession, base: str) -> DataFrame:
     """Where and why each run stops: budget, errors in a row or a repeated call, whichever comes first."""
     again = Window.partitionBy("user_id", "event_type", "props").orderBy("ts", "event_id")
-    n = streaks(_events(spark, base)).withColumn("occurrence", F.row_number().over(again)).withColumn("i", F.row_number().over(RUN))
+    n = streaks(_events(spark, base)).withColumn("occurrence", F.row_number().over(again)).withColumn("i", F.row_number().over(by_run()))
     stop = F.when(F.col("i") > 60, "budget").when(F.col("streak") >= 3, "errors").when(F.col("occurrence") >= 3, "duplicate")
     first = n.withColumn("stop", stop).groupBy("user_id").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("i", "stop"))).alias("s"), F.max("i").alias("last"))
     return first.select("user_id", F.coalesce("s.i", "last").alias("stopped_at"), F.coalesce("s.stop", F.lit("completed")).alias("verdict"))
