@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise
 
-PREFIX = 8
+PREFIX = 16
+#: The prefix of a pivot order, four 16-bit numbers in each column.
+PACKED = [f"p{i}" for i in range(PREFIX // 4)]
+_P = ", ".join(f"{p} bigint" for p in PACKED)
 #: Marks of rows whose file was not cut, and of rows that meet the rows of their own block.
 NOT_CUT, WITHIN = -2, -1
 
@@ -72,12 +75,12 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross
         alive = alive[keys[alive] == keys[alive + d]]
         if not len(alive):
             return
-        for s in range(0, len(alive), 50_000):
-            a = alive[s : s + 50_000]
+        for s in range(0, len(alive), 20_000):
+            a = alive[s : s + 20_000]
             b = a + d
             ok = (cids[a] != cids[b]) & ~(cross[a] & (side[a] == side[b]))
             a, b = a[ok], b[ok]
-            same = (perms[a][:, :, None] == perms[b][:, None, :]).reshape(len(a), -1)
+            same = (perms[a][:, :, None] == perms[b][:, None, :]).reshape(len(a), PREFIX * PREFIX)
             near = PREFIX * (PREFIX + 1) + same.astype(np.float32) @ gain <= limit
             a, b = a[near], b[near]
             if len(a):
@@ -85,7 +88,7 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross
         d += 1
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int = 1024, posted: int = 5, key_pivots: int = 2, max_footrule: int = 48, block: int = 4096) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int = 1024, posted: int = 5, key_pivots: int = 2, max_footrule: int = 112, block: int = 4096) -> DataFrame:
     """The k most similar vectors of the same model for every vector: (id, other, cosine, rank).
 
     ``vectors`` comes from :func:`unit_vectors`. Equal vectors form one class, searched once and expanded at
@@ -96,8 +99,8 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("cid", F.xxhash64("model", F.transform("vec", lambda x: F.round(x, 4) + F.lit(0.0).cast("float"))))
-    classes = materialise(rows.groupBy("cid").agg(F.min_by(F.struct("model", "vec"), "id").alias("r")).select("cid", "r.model", "r.vec"))
-    rows = rows.select("cid", "id").distinct()
+    classes = rows.groupBy("cid").agg(F.min_by(F.struct("id", "model", "vec"), "id").alias("r"), F.count("*").alias("n"))
+    classes = materialise(classes.select("cid", "r.id", "r.model", "r.vec", "n"))
     chosen = classes.select("vec", F.xxhash64("cid").alias("h")).orderBy("h").limit(pivots).collect()
     if len(chosen) < key_pivots:
         pairs = classes.select(F.col("cid").alias("a"), "model").join(classes.select(F.col("cid").alias("b"), "model"), "model").where("a < b").select("a", "b")
@@ -111,12 +114,15 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
     both = scored.select("a", "b", "cosine").union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     # The k nearest classes hold the k nearest vectors; of each class its k + 1 smallest ids are enough.
     nearest = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k).drop("r")
-    heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
-    members = heads.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # Most classes have one row; only rows of the others are read again.
+    single = classes.where("n = 1").select("cid", "id")
+    copies = rows.select("cid", "id").join(classes.where("n > 1").select("cid"), "cid", "left_semi").distinct()
+    heads = copies.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("id"))).where(F.col("r") <= k + 1)
+    members = heads.groupBy("cid").agg(F.sort_array(F.collect_list("id")).alias("ids")).unionByName(single.select("cid", F.array("id").alias("ids")))
     own = members.select(F.col("cid").alias("a"), F.lit(1.0).cast("double").alias("cosine"), "ids").where(F.size("ids") > 1)
     near = nearest.join(members.withColumnRenamed("cid", "b"), "b").select("a", "cosine", "ids")
     lists = own.unionByName(near).groupBy("a").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
-    seen = rows.select(F.col("cid").alias("a"), "id").join(lists, "a")
+    seen = single.unionByName(copies).select(F.col("cid").alias("a"), "id").join(lists, "a")
     flat = F.flatten(F.transform("lists", lambda p: F.transform(p["ids"], lambda i: F.struct((-p["cosine"]).alias("d"), i.alias("other")))))
     top = F.slice(F.array_sort(F.filter(flat, lambda x: x["other"] != F.col("id"))), 1, k)
     out = seen.select("id", F.posexplode(top).alias("pos", "x"))
@@ -132,6 +138,8 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
         p = share.value
         width = min(PREFIX, len(p))
         for pdf in batches:
+            if not len(pdf):
+                continue
             v = np.array(pdf["vec"].tolist(), dtype=np.float32).reshape(len(pdf), p.shape[1])
             s = v @ p.T
             part = np.argpartition(-s, width - 1, axis=1)[:, :width]
@@ -143,7 +151,7 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
             for c in range(key_pivots):
                 key = key * len(p) + near[:, combos[:, c]]
             packed = np.repeat(perm.view(np.int64), len(combos), axis=0)
-            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), len(combos)), "model": np.repeat(pdf["model"].to_numpy(), len(combos)), "pk": key.ravel(), "p0": packed[:, 0], "p1": packed[:, 1]})
+            yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), len(combos)), "model": np.repeat(pdf["model"].to_numpy(), len(combos)), "pk": key.ravel(), **{p: packed[:, i] for i, p in enumerate(PACKED)}})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs of each file of the sorted rows; the rows of a file longer than a block are passed on (a null)."""
@@ -151,15 +159,15 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
         held, passing = 0, None
 
         def pairs(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            perms = np.ascontiguousarray(done[["p0", "p1"]].to_numpy()).view(np.uint16)
+            perms = np.ascontiguousarray(done[PACKED].to_numpy()).view(np.uint16)
             side = done["side"].to_numpy()
             got = list(_footrule_pairs(done["key"].to_numpy(), done["cid"].to_numpy(), perms, side >= 0, side, max_footrule))
             if got:
                 u = np.unique(np.concatenate(got), axis=0)
-                yield pd.DataFrame({"a": u[:, 0], "b": u[:, 1], "key": 0, "p0": 0, "p1": 0})
+                yield pd.DataFrame({"a": u[:, 0], "b": u[:, 1], "key": 0, **dict.fromkeys(PACKED, 0)})
 
         def long_rows(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"a": rows["cid"], "b": None, "key": rows["key"], "p0": rows["p0"], "p1": rows["p1"]}).astype({"b": "Int64"})
+            return pd.DataFrame({"a": rows["cid"], "b": None, "key": rows["key"], **{p: rows[p] for p in PACKED}}).astype({"b": "Int64"})
 
         for pdf in itertools.chain(batches, [None]):
             if pdf is not None and len(pdf):
@@ -192,8 +200,8 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
                 open_file = open_file.iloc[:0]
             rest, held = ([open_file], len(open_file)) if len(open_file) else ([], 0)
 
-    postings = classes.mapInPandas(post, "cid bigint, model string, pk bigint, p0 bigint, p1 bigint").select(F.xxhash64("model", "pk").alias("key"), "cid", "p0", "p1", F.lit(NOT_CUT).alias("side"))
-    schema = "a bigint, b bigint, key bigint, p0 bigint, p1 bigint"
+    postings = classes.mapInPandas(post, f"cid bigint, model string, pk bigint, {_P}").select(F.xxhash64("model", "pk").alias("key"), "cid", *PACKED, F.lit(NOT_CUT).alias("side"))
+    schema = f"a bigint, b bigint, key bigint, {_P}"
     first = materialise(postings.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).distinct())
     met = first.where("b is not null").select("a", "b")
     long = first.where("b is null")
@@ -202,8 +210,8 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
     # Long files: blocks by hash of the class; each row visits the tasks of all pairs of blocks with its own block.
     blocks = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     marked = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
-    tasks = marked.select("key", F.col("a").alias("cid"), "p0", "p1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = marked.select("key", F.col("a").alias("cid"), *PACKED, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # Rows within one block meet once, in the task (own, own); elsewhere only rows of different sides meet.
-    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "p0", "p1", F.when(F.col("own") == F.col("other"), F.lit(WITHIN)).otherwise(F.col("own")).alias("side"))
+    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", *PACKED, F.when(F.col("own") == F.col("other"), F.lit(WITHIN)).otherwise(F.col("own")).alias("side"))
     second = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).select("a", "b")
     return met.unionByName(second).distinct()
