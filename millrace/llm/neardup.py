@@ -82,6 +82,8 @@ def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance:
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = order.value
         for pdf in batches:
+            if not len(pdf):
+                continue
             hashes, starts, postings = [], [], []
             for ws in pdf["words"]:
                 starts.append(len(hashes))

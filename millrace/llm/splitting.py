@@ -27,7 +27,12 @@ HALO = 256
 
 
 def text_ranges(df: DataFrame, id_col: str, text_col: str, limit: int, range_chars: int) -> DataFrame:
-    """(id, r, body, ahead): the ranges of every text longer than the limit."""
+    """(id, r, body, ahead): the ranges of every text longer than the limit.
+
+    Their length is a multiple of the cells of the boundary tables, so the cuts don't depend on it.
+    """
+    cell = max(1, limit // 16)
+    range_chars = max(1, range_chars // cell) * cell
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null").where(F.length("text") > limit)
     cut = src.select("id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / range_chars).cast("int"))).alias("r"))
     return cut.select("id", "r", F.expr(f"substring(text, r * {range_chars} + 1, {range_chars})").alias("body"), F.expr(f"substring(text, (r + 1) * {range_chars} + 1, {HALO})").alias("ahead"))
