@@ -38,7 +38,7 @@ BEARER = re.compile(r"(?i)\bbearer\s+([A-Za-z0-9._~+/=-]{16,})")
 FIELD = re.compile(r"(?i)(?:^|[;\s\"'`?&])(password|pwd|passwd|secret|token|accountkey|sharedaccesskey|apikey|api_key|access_token)\s*=\s*([^;\s\"'`&]{4,400})")
 NOTE = re.compile(r" / `?([^\s`]{6,100})")
 NOTE_WORDS = re.compile(r"(?i)\b(?:log ?in|sign in|credentials?|account|user(?:name)?|use|password|pass|pw|access|staging|prod\w*)\b.{0,40}?[\s:`][A-Za-z][\w.@-]{1,40}`?\s*\Z")
-SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api key)(?!\w)(?:\s+(?:is|was|for\s+[\w.-]+(?:\s+is)?))?\s*[:=]?\s*[\"'`]?([^\s\"'`,;<>(){}]{8,200})")
+SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api key)(?!\w)(?:[ \t]+(?:is|was|for[ \t]+[\w.-]+(?:[ \t]+is)?))?[ \t]*[:=]?[ \t]*[\"'`]?([^\s\"'`,;<>(){}]{8,200})")
 FIELD_WORDS = ("password", "pwd", "passwd", "secret", "token", "accountkey", "accesskey", "apikey", "api_key")
 SAID_WORDS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api key")
 JOIN = re.compile(r"([\"'])[ \t]*(?:\+|\\|\.)?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?[bru]?\1(?=[^\"'\n])")
@@ -119,12 +119,12 @@ def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
         return bool(len(value) >= 6 and not PLACEHOLDER.match(value) and m and not PLACEHOLDER.match(m[1]))
     if TOKENS.match(value):
         return True
-    if speaks == 0 or "://" in value or value.startswith(("/", "./", "~/", "ssh-", "data:", "-----")) or re.search(r"\s", value) or re.fullmatch(r"[A-Za-z_][\w.]*\(.*|[\d.,]+|[A-Z][A-Z0-9_]*", value) and not re.search(r"\d.*[A-Z].*\d", value):
+    if speaks == 0 or "://" in value or value.startswith(("./", "~/", "ssh-", "data:", "-----")) or re.fullmatch(r"/[\w./-]*", value) or re.search(r"\s", value) or re.fullmatch(r"[A-Za-z_][\w.]*\(.*|[\d.,]+|[A-Z][A-Z0-9_]*", value) and not re.search(r"\d.*[A-Z].*\d", value):
         return False
     left = unexplained(value, words)
     if speaks == 2:
         return left >= 3 and len(value) >= 6
-    return not HASHES.match(value) and 12 <= len(value) <= 200 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
+    return not HASHES.match(value) and 12 <= len(value) <= 100 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
 
 
 def said_secret(v: str, words: dict[str, float]) -> bool:
@@ -137,11 +137,11 @@ def said_secret(v: str, words: dict[str, float]) -> bool:
 def find_credentials(content: str, words: dict[str, float], code: bool = False) -> list[tuple[int, int]]:
     """Spans (begin, end) of credential values, sorted, not overlapping; a value in several literals is one span.
 
-    In ``code`` a value without quotes is an expression, not a literal.
+    In ``code`` a value without quotes is an expression, not a literal, and neighbouring literals are one value.
     """
     cuts: list[tuple[int, int]] = []  # (offset in the joined text, characters left out before it)
     pieces, last, gone, size = [], 0, 0, 0
-    for m in JOIN.finditer(content):
+    for m in JOIN.finditer(content) if code else ():
         pieces.append(content[last : m.start()])
         size += m.start() - last
         gone += m.end() - m.start()
