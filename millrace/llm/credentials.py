@@ -82,12 +82,14 @@ def unexplained(literal: str, words: dict[str, float], letter: float = 4.2) -> i
 
 def name_before(head: str) -> tuple[str, str]:
     """The name to which a literal after this text is given, and the sign between them; empty if there is none."""
-    head = head.rstrip(" \t\r\n(")
+    whole, head = head, head.rstrip(" \t\r\n(")
     if head[-1:].isalpha():
         head = head.rstrip("bBrRuUfF").rstrip(" \t(")
     sign, rest = head[-1:], head[:-1].rstrip(" \t=:")
     if sign not in (":", "=", ",", ">") or head[-2:] in ("==", "!=", ">=", "<=") or sign == ">" and head[-2:] != "=>":
         return "", ""
+    if sign == "," and ("(" not in head or "\n" in whole.rpartition("(")[2]):  # a pair of arguments only
+        return "", ""
     if sign == "=" and ":" in rest:  # name: type = literal
         before, _, kind = rest.rpartition(":")
         if re.fullmatch(r"\s*[A-Za-z_][\w\[\], |]*", kind):
@@ -124,7 +126,7 @@ def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
     left = unexplained(value, words)
     if speaks == 2:
         return left >= 3 and len(value) >= 6
-    return not HASHES.match(value) and 12 <= len(value) <= 100 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
+    return not HASHES.match(value) and 12 <= len(value) <= 64 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
 
 
 def said_secret(v: str, words: dict[str, float]) -> bool:
