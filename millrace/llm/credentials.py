@@ -7,6 +7,7 @@ suffices; known hash formats, ids, public keys, placeholders and references are
 
 from __future__ import annotations
 
+import base64
 import functools
 import json
 import math
@@ -36,9 +37,12 @@ FLAG = re.compile(r"--?([A-Za-z][\w-]*)[= ]([^\s\"'`,;)<$]{6,400})")
 HEADER = re.compile(r"(?i)\b((?:proxy-)?authorization|x-[a-z0-9-]+|cookie|api-key)\s*[\"'`]?\s*[:,=]\s*[\"'`]?\s*(?:(?:bearer|basic|token|apikey|digest)\s+)?([^\s\"'`,;]{8,4000})")
 BEARER = re.compile(r"(?i)\bbearer\s+([A-Za-z0-9._~+/=-]{16,})")
 FIELD = re.compile(r"(?i)(?:^|[;\s\"'`?&])(password|pwd|passwd|secret|token|accountkey|sharedaccesskey|apikey|api_key|access_token)\s*=\s*([^;\s\"'`&]{4,400})")
-NOTE = re.compile(r" / `?([^\s`]{6,100})")
-NOTE_WORDS = re.compile(r"(?i)\b(?:log ?in|sign in|credentials?|account|user(?:name)?|use|password|pass|pw|access|staging|prod\w*)\b.{0,40}?[\s:`][A-Za-z][\w.@-]{1,40}`?\s*\Z")
+NOTE = re.compile(r"([A-Za-z][\w.@-]{1,40})`?[ \t]+(/|with|:|pw|pass|password|passwd)[ \t]+`?([^\s`\"']{6,100})")
+NOTE_WORDS = re.compile(r"(?i)\b(?:log ?in|sign in|credentials?|account|user(?:name)?|use|password|pass|pw|access|staging|prod\w*)\b")
+SHORT_FLAG = re.compile(r"(?<=\s)-p([A-Za-z0-9][^\s\"'`]{7,200})")
+BASIC = re.compile(r"\b[Bb]asic[ \t]+([A-Za-z0-9+/]{8,}={0,2})")
 SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api key)(?!\w)(?:[ \t]+(?:is|was|for[ \t]+[\w.-]+(?:[ \t]+is)?))?[ \t]*[:=]?[ \t]*[\"'`]?([^\s\"'`,;<>(){}]{8,200})")
+NOTE_SIGNS = (" / ", " with ", " : ", " pw ", " pass")
 FIELD_WORDS = ("password", "pwd", "passwd", "secret", "token", "accountkey", "accesskey", "apikey", "api_key")
 SAID_WORDS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api key")
 JOIN = re.compile(r"([\"'])[ \t]*(?:\+|\\|\.)?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?[bru]?\1(?=[^\"'\n])")
@@ -121,14 +125,25 @@ def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
         return bool(len(value) >= 6 and not PLACEHOLDER.match(value) and m and not PLACEHOLDER.match(m[1]))
     if TOKENS.match(value):
         return True
-    if speaks == 0 or "://" in value or value.startswith(("./", "~/", "ssh-", "data:", "-----")) or re.fullmatch(r"/[\w./-]*", value) or re.search(r"\s", value) or re.fullmatch(r"[A-Za-z_][\w.]*\(.*|[\d.,]+|[A-Z][A-Z0-9_]*", value) and not re.search(r"\d.*[A-Z].*\d", value):
+    if speaks == 0 or "://" in value or value.startswith(("./", "~/", "ssh-", "data:", "-----")) or re.search(r"\s", value) or re.fullmatch(r"[A-Za-z_][\w.]*\(.*|[\d.,]+|[A-Z][A-Z0-9_]*", value) and not re.search(r"\d.*[A-Z].*\d", value):
         return False
     left = unexplained(value, words)
+    if value.startswith("/") and left < 0.6 * len(value):
+        return False
     if speaks == 2:
         return left >= 3 and len(value) >= 6
     return not HASHES.match(value) and 12 <= len(value) <= 64 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
 
 
+def account_in_base64(value: str) -> bool:
+    """Whether the value is the base64 of a user and a password."""
+    try:
+        user, sign, word = base64.b64decode(value + "=" * (-len(value) % 4)).decode("ascii").partition(":")
+    except ValueError:
+        return False
+    return bool(sign and user and word.isprintable() and not PLACEHOLDER.match(word))
+
+
 def said_secret(v: str, words: dict[str, float]) -> bool:
     """Whether a word in prose is a credential: letters and digits, no path, call, hash or identifier."""
     if not (re.search(r"[A-Za-z]", v) and re.search(r"\d", v)) or re.search(r"[/(\[]", v) or HASHES.match(v) or v.count("_") > 1:
@@ -185,10 +200,19 @@ def find_credentials(content: str, words: dict[str, float], code: bool = False)
     for m in FIELD.finditer(text) if any(x in low for x in FIELD_WORDS) else ():
         if is_secret(m[2], 2, words) and not re.match(r"[\w.]+[(\[]|[a-z_][\w.]*$", m[2]):
             add(m.start(2), m.end(2))
-    for m in NOTE.finditer(text) if " / " in text else ():
-        v = m[1].rstrip(".,")
-        if said_secret(v, words) and NOTE_WORDS.search(text, max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200), m.start()):
-            add(m.start(1), m.start(1) + len(v))
+    m = NOTE.search(text) if any(x in text for x in NOTE_SIGNS) else None
+    while m:
+        v = m[3].rstrip(".,")
+        line = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200) : m.end(1)]
+        if said_secret(v, words) and (m[2].startswith("p") or NOTE_WORDS.search(line)):
+            add(m.start(3), m.start(3) + len(v))
+        m = NOTE.search(text, m.start(3))
+    for m in SHORT_FLAG.finditer(text) if " -p" in text else ():
+        if is_secret(m[1], 2, words) and re.search(r"\d", m[1]) and "=" not in m[1]:
+            add(m.start(1), m.end(1))
+    for m in BASIC.finditer(text) if "asic " in text else ():
+        if account_in_base64(m[1]):
+            add(m.start(1), m.end(1))
     for m in SAID.finditer(text) if any(x in low for x in SAID_WORDS) else ():
         v = m[1].rstrip(".,")
         if said_secret(v, words):
