@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +58,66 @@ def sparse_vectors(df: DataFrame, key: str, text: Column, dimensions: int) -> Da
     return sums.select(key, "dim", (F.col("v") / length).alias("x"))
 
 
-def dense_scores(queries: DataFrame, query_key: str, rows: DataFrame, key: str) -> DataFrame:
-    """(query key, key, score): cosine of hashed vectors, positive ones only, rounded to 6 digits."""
-    q = queries.select(query_key, "dim", F.col("x").alias("qx"))
-    return q.join(rows, "dim").groupBy(query_key, key).agg(F.round(F.sum(F.col("qx") * F.col("x")), 6).alias("score")).where("score > 0")
+def dense_vectors(sparse: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """(key, vec): the sparse form gathered into one array for each row."""
+    pairs = F.map_from_entries(F.collect_list(F.struct("dim", "x")))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0).cast("double")))
+    return sparse.groupBy(key).agg(pairs.alias("m")).select(key, spread.alias("vec"))
+
+
+def dense_map(queries: DataFrame, query_key: str, rows: DataFrame, key: str, schema: str, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], block: int = 8192) -> DataFrame:
+    """Every query against all rows as products of matrices: reduce(query ids, row ids, scores rounded to 6 digits) for each batch of rows.
+
+    The query set goes to the tasks in blocks of fixed size, one pass over the rows for each block, so what
+    is sent at once is bounded however many queries there are.
+    """
+    out, held = None, []
+
+    def run(held: list) -> DataFrame:
+        ids = np.array([r[0] for r in held])
+        matrix = np.array([r[1] for r in held], dtype=np.float64)
+        share = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = share.value
+            for pdf in batches:
+                for s in range(0, len(pdf), 2000):
+                    part = pdf.iloc[s : s + 2000]
+                    yield reduce(ids, part[key].to_numpy(), np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ matrix.T, 6))
+
+        return rows.select(key, "vec").mapInPandas(score, schema)
+
+    for r in queries.select(query_key, "vec").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            out, held = (run(held) if out is None else out.unionByName(run(held))), []
+    if held or out is None:
+        empty = rows.sparkSession.createDataFrame([], schema)
+        out = (run(held) if held else empty) if out is None else out.unionByName(run(held)) if held else out
+    return out
+
+
+def dense_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str, pool: int) -> DataFrame:
+    """(query key, key, score, rank): the best ``pool`` rows of each query by cosine of unit vectors, positive ones only, equal scores by key."""
+    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
+
+    def best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
+        by_key = np.argsort(keys, kind="stable")
+        keys, scores = keys[by_key], scores[by_key]
+        # The least score that is among the best of this batch, then all rows that reach it.
+        n = min(pool, len(keys))
+        bar = np.partition(scores, len(keys) - n, axis=0)[len(keys) - n]
+        i, q = np.nonzero((scores >= bar) & (scores > 0))
+        return pd.DataFrame({query_key: ids[q], key: keys[i], "score": scores[i, q]})
+
+    return ranked(dense_map(queries, query_key, rows, key, kinds, best), query_key, key, pool)
+
+
+def dense_positive(queries: DataFrame, query_key: str, rows: DataFrame, key: str) -> DataFrame:
+    """(query key, positive): how many rows have a positive cosine to each query that has any."""
+    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, n bigint"
+    count = lambda ids, keys, scores: pd.DataFrame({query_key: ids, "n": (scores > 0).sum(axis=0)})
+    return dense_map(queries, query_key, rows, key, kinds, count).groupBy(query_key).agg(F.sum("n").alias("positive")).where("positive > 0")
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, query_key: str, key: str, top_k: int, k: int = 60, lexical_weight: float = 1.0, dense_weight: float = 1.0) -> DataFrame:

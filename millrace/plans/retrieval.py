@@ -105,11 +105,15 @@ def lexical(spark: SparkSession, base: str) -> DataFrame:
     return R.ranked(R.bm25(posted, _documents(spark, base), "doc_id", _queries(spark, base), "item_id", "query"), "item_id", "doc_id", POOL)
 
 
+def _dense(spark: SparkSession, base: str, query_key: str, key: str) -> tuple[DataFrame, str, DataFrame, str]:
+    q = R.dense_vectors(R.sparse_vectors(_queries(spark, base), query_key, F.col("query"), DIM), query_key, DIM)
+    d = R.dense_vectors(R.sparse_vectors(_documents(spark, base), key, F.col("text"), DIM), key, DIM)
+    return q, query_key, d, key
+
+
 def dense(spark: SparkSession, base: str) -> DataFrame:
     """The cosine rank list of every query."""
-    q = R.sparse_vectors(_queries(spark, base), "item_id", F.col("query"), DIM)
-    d = R.sparse_vectors(_documents(spark, base), "doc_id", F.col("text"), DIM)
-    return R.ranked(R.dense_scores(q, "item_id", d, "doc_id"), "item_id", "doc_id", POOL)
+    return R.dense_ranked(*_dense(spark, base, "item_id", "doc_id"), POOL)
 
 
 def fused(spark: SparkSession, base: str, top: int = TOP) -> DataFrame:
@@ -265,9 +269,7 @@ def p09_nonzero_vectors(spark: SparkSession, base: str) -> DataFrame:
 @query(f"with {DENSE_SQL} select item_id, count(*)::bigint as positive from ds where score > 0 group by item_id")
 def p08_positive_similarity(spark: SparkSession, base: str) -> DataFrame:
     """How many documents have a positive similarity to each query."""
-    q = R.sparse_vectors(_queries(spark, base), "item_id", F.col("query"), DIM)
-    d = R.sparse_vectors(_documents(spark, base), "doc_id", F.col("text"), DIM)
-    return R.dense_scores(q, "item_id", d, "doc_id").groupBy("item_id").agg(F.count("*").alias("positive"))
+    return R.dense_positive(*_dense(spark, base, "item_id", "doc_id"))
 
 
 @query(f"with {FUSED_SQL} select item_id, doc_id, score from (select *, row_number() over (order by score desc, item_id, doc_id) as r from fu) where r <= 50")
