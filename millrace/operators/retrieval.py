@@ -53,7 +53,9 @@ def ranked(scores: DataFrame, query_key: str, key: str, pool: int) -> DataFrame:
 def sparse_vectors(df: DataFrame, key: str, text: Column, dimensions: int) -> DataFrame:
     """(key, dim, x): hashed features of a text in the JVM, scaled to length 1; the form in which batches of queries are joined."""
     each = df.select(F.col(key), F.explode(T.features(F.coalesce(text, F.lit("")))).alias("w"))
-    sums = each.groupBy(key, V.md5_bucket(F.col("w"), dimensions).alias("dim")).agg(F.sum(V.md5_sign(F.col("w"))).alias("v")).where("v <> 0")
+    # One digest for each distinct word of a row.
+    words = each.groupBy(key, "w").agg(F.count("*").alias("n"))
+    sums = words.groupBy(key, V.md5_bucket(F.col("w"), dimensions).alias("dim")).agg(F.sum(V.md5_sign(F.col("w")) * F.col("n")).alias("v")).where("v <> 0")
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return sums.select(key, "dim", (F.col("v") / length).alias("x"))
 

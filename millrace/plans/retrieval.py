@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import retrieval as R
-from ..runtime import materialise, read_table
+from ..runtime import materialise, read_table, spread
 from .registry import query
 
 POOL, TOP = 20, 5
@@ -95,7 +95,7 @@ def _queries(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _posted(spark: SparkSession, base: str) -> DataFrame:
-    docs = _documents(spark, base)
+    docs = spread(_documents(spark, base).select("doc_id", "text", "path"))
     return R.postings(docs, "doc_id", {"text": (F.col("text"), 1.0), "path": (F.col("path"), 0.3)})
 
 
@@ -107,7 +107,7 @@ def lexical(spark: SparkSession, base: str) -> DataFrame:
 
 def _dense(spark: SparkSession, base: str, query_key: str, key: str) -> tuple[DataFrame, str, DataFrame, str]:
     q = R.dense_vectors(R.sparse_vectors(_queries(spark, base), query_key, F.col("query"), DIM), query_key, DIM)
-    d = R.dense_vectors(R.sparse_vectors(_documents(spark, base), key, F.col("text"), DIM), key, DIM)
+    d = R.dense_vectors(R.sparse_vectors(spread(_documents(spark, base).select(key, "text")), key, F.col("text"), DIM), key, DIM)
     return q, query_key, d, key
 
 
@@ -125,7 +125,7 @@ def qrels(spark: SparkSession, base: str) -> DataFrame:
     """(item_id, doc_id): documents that hold words 9 to 20 of a query in a row; found by a join on the run of words."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     q = _queries(spark, base).select("item_id", words(F.col("query")).alias("w")).where("size(w) >= 20").select("item_id", F.array_join(F.slice("w", 9, 12), " ").alias("run"))
-    d = _documents(spark, base).select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 12")
+    d = spread(_documents(spark, base).select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 12")
     runs = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 11), lambda i: F.array_join(F.slice("w", i, F.lit(12)), " "))).alias("run"))
     return runs.join(q, "run").select("item_id", "doc_id").distinct()
 

@@ -45,3 +45,9 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(os.path.join(folder, "millrace.zip"))
     sc._millrace_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer splits than cores, for expressions that cost more than moving a small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
