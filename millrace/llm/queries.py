@@ -28,8 +28,8 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
-    """For every chunk vector its most similar ones that the index finds, ranked."""
-    return vectors.similar_pairs(_vectors(spark, base, "chunk"), k=5).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+    """For every chunk vector its 5 most similar ones, ranked."""
+    return vectors.nearest_vectors(_vectors(spark, base, "chunk"), k=5).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

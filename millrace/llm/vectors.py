@@ -3,7 +3,7 @@
 A vector is represented by the order of its nearest pivots. It is posted in inverted files keyed by sets
 of ``key_pivots`` of its ``posted`` nearest pivots, so vectors meet only if several of their nearest pivots
 agree. Within a file pairs are ranked by the footrule distance of their pivot orders; pairs within
-``max_footrule`` are reranked by the exact cosine.
+``max_footrule`` are reranked by the exact cosine. This finds near vectors; ``nearest_vectors`` compares all.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, shuffle_width
 
 PREFIX = 16
 #: The prefix of a pivot order, four 16-bit numbers in each column.
@@ -97,10 +97,7 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
     than ``block`` is cut into block pairs, each a task of bounded size, so no file is truncated. Repeated
     ids count once. An empty input gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.withColumn("cid", F.xxhash64("model", F.transform("vec", lambda x: F.round(x, 4) + F.lit(0.0).cast("float"))))
-    classes = rows.groupBy("cid").agg(F.min_by(F.struct("id", "model", "vec"), "id").alias("r"), F.count("*").alias("n"))
-    classes = materialise(classes.select("cid", "r.id", "r.model", "r.vec", "n"))
+    rows, classes = _classes(vectors)
     chosen = classes.select("vec", F.xxhash64("cid").alias("h")).orderBy("h").limit(pivots).collect()
     if len(chosen) < key_pivots:
         pairs = classes.select(F.col("cid").alias("a"), "model").join(classes.select(F.col("cid").alias("b"), "model"), "model").where("a < b").select("a", "b")
@@ -114,6 +111,79 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
     both = scored.select("a", "b", "cosine").union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     # The k nearest classes hold the k nearest vectors; of each class its k + 1 smallest ids are enough.
     nearest = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("r") <= k).drop("r")
+    return _expand(rows, classes, nearest, k)
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 5, block: int = 16384) -> DataFrame:
+    """The k most similar vectors of the same model for every vector, exactly and whatever the cosine: (id, other, cosine, rank).
+
+    As :func:`similar_pairs` without its index and its floor: all classes of a model are compared, in tasks of
+    two blocks of about ``block`` classes each. Work grows with the square of the largest model, memory of a
+    task does not. A vector has fewer than k rows only if its model has no more vectors.
+    """
+    spark = vectors.sparkSession
+    rows, classes = _classes(vectors)
+    blocks = classes.groupBy("model").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    pairs = blocks.select(F.sum(F.col("blocks").cast("bigint") * (F.col("blocks") + 1) / 2)).first()[0] or 1
+    width = max(shuffle_width(spark), min(int(pairs), 64 * spark.sparkContext.defaultParallelism))
+    marked = classes.join(blocks, "model").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    tasks = marked.select("model", "cid", "id", "vec", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select("model", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cid", "id", "vec", "own")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        # In the order of ids, so that of equal cosines the smaller id comes first.
+        pdf = pdf.sort_values("id", ignore_index=True)
+        v, cids, ids = np.array(pdf["vec"].tolist(), dtype=np.float32), pdf["cid"].to_numpy(), pdf["id"].to_numpy()
+        low = np.flatnonzero(pdf["own"] == pdf["lo"])
+        high = np.flatnonzero(pdf["own"] == pdf["hi"])
+        out = []
+        for x, y in [(low, high)] if pdf["lo"].iat[0] == pdf["hi"].iat[0] else [(low, high), (high, low)]:
+            for a, b, cosine in _exact_nearest(v, x, y, k):
+                out.append(pd.DataFrame({"a": cids[a], "b": cids[b], "id": ids[b], "cosine": cosine}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": [], "b": [], "id": [], "cosine": []})
+
+    met = tasks.repartition(width, "model", "lo", "hi").groupBy("model", "lo", "hi").applyInPandas(meet, "a bigint, b bigint, id string, cosine double")
+    nearest = met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "id"))).where(F.col("r") <= k)
+    return _expand(rows, classes, nearest.select("a", "b", "cosine"), k)
+
+
+def _exact_nearest(v: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, row of y, cosine): for each of the rows x of v the k most similar other rows among y; earlier rows first."""
+    vy = np.ascontiguousarray(v[y].T)
+    groups = len(y) // 64
+    for s in range(0, len(x), 512):
+        part = x[s : s + 512]
+        cosines = v[part] @ vy
+        cosines[part[:, None] == y[None, :]] = -np.inf
+        # The k-th of the groups' maxima is at most the k-th cosine; single precision is off by less than 1e-5.
+        if groups > k:
+            top = cosines[:, : groups * 64].reshape(len(part), 64, groups).max(axis=1)
+            least = np.partition(top, groups - k, axis=1)[:, groups - k]
+        elif len(y) > k:
+            least = np.partition(cosines, len(y) - k, axis=1)[:, len(y) - k]
+        else:
+            least = np.full(len(part), -np.inf, dtype=np.float32)
+        r, c = np.nonzero(cosines >= (least - np.float32(1e-5))[:, None])
+        a, b = part[r], y[c]
+        a, b = a[a != b], b[a != b]
+        exact = np.empty(len(a))
+        for i in range(0, len(a), 100_000):
+            exact[i : i + 100_000] = np.einsum("ij,ij->i", v[a[i : i + 100_000]].astype(np.float64), v[b[i : i + 100_000]].astype(np.float64))
+        order = np.lexsort((b, -exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        yield a[keep], b[keep], exact[keep]
+
+
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their class (cid), and (cid, id, model, vec, n) for each class of equal vectors."""
+    rows = vectors.withColumn("cid", F.xxhash64("model", F.transform("vec", lambda x: F.round(x, 4) + F.lit(0.0).cast("float"))))
+    classes = rows.groupBy("cid").agg(F.min_by(F.struct("id", "model", "vec"), "id").alias("r"), F.count("*").alias("n"))
+    return rows, materialise(classes.select("cid", "r.id", "r.model", "r.vec", "n"))
+
+
+def _expand(rows: DataFrame, classes: DataFrame, nearest: DataFrame, k: int) -> DataFrame:
+    """(id, other, cosine, rank) of the vectors, from (a, b, cosine) of the k nearest classes of each class."""
     # Most classes have one row; only rows of the others are read again.
     single = classes.where("n = 1").select("cid", "id")
     copies = rows.select("cid", "id").join(classes.where("n > 1").select("cid"), "cid", "left_semi").distinct()

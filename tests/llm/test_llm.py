@@ -51,6 +51,25 @@ def test_similar_pairs_against_brute_force(spark, block):
     assert {p for p in want if p[0][0] == p[1][0] == "c"} <= got
 
 
+@pytest.mark.parametrize("n,block", [(300, 4096), (300, 60), (6, 2)])
+def test_nearest_vectors_are_exact_at_any_cosine(spark, n, block):
+    rows = vector_rows(n)
+    v = vectors.unit_vectors(spark.createDataFrame(rows, "id string, model string, e array<double>"), "id", "model", F.col("e"))
+    got = {}
+    for r in sorted(vectors.nearest_vectors(v, block=block).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.id, []).append(r)
+    good = {i: (m, np.array(e) / np.linalg.norm(e)) for i, m, e in rows if i and m and e and len(e) == 64 and np.isfinite(e).all() and np.any(e)}
+    assert set(got) == set(good)
+    for i, near in got.items():
+        m, e = good[i]
+        want = sorted((float(e @ w) for j, (o, w) in good.items() if o == m and j != i), reverse=True)[:5]
+        assert [r["rank"] for r in near] == list(range(1, len(want) + 1)) and i not in {r.other for r in near}
+        assert [r.cosine for r in near] == pytest.approx(want, abs=1e-3)
+        assert [r.cosine for r in near] == pytest.approx([float(e @ good[r.other][1]) for r in near], abs=1e-3)
+    if n == 6:
+        assert min(r.cosine for near in got.values() for r in near) < 0
+
+
 def test_vectors_in_json_and_empty_tables(spark):
     rows = [("a", "m", json.dumps([1.0] * 64)), ("b", "m", "[" + ",".join(["1e0"] * 64) + "]"), ("c", "m", "[1, 2"), ("d", "m", "{}"), ("e", "m", None), ("f", "m", json.dumps(["x"] * 64))]
     df = spark.createDataFrame(rows, "id string, model string, e string")
@@ -58,6 +77,8 @@ def test_vectors_in_json_and_empty_tables(spark):
     assert {r.id for r in v.collect()} == {"a", "b"}
     assert {(r.id, r.other) for r in vectors.similar_pairs(v).collect()} == {("a", "b"), ("b", "a")}
     assert vectors.similar_pairs(vectors.unit_vectors(df.limit(0), "id", "model", F.col("e"))).count() == 0
+    assert {(r.id, r.other) for r in vectors.nearest_vectors(v).collect()} == {("a", "b"), ("b", "a")}
+    assert vectors.nearest_vectors(vectors.unit_vectors(df.limit(0), "id", "model", F.col("e"))).count() == 0
 
 
 # --- near duplicates
