@@ -181,6 +181,18 @@ def test_provenance_of_single_files(path, text, kind):
     assert (got and got[0]) == kind
 
 
+@pytest.mark.parametrize("path,text,kind", [
+    ("src/a.py", "x = 1\n\n\ndef f():\n    return x\n\n# Code generated by clientpress 6.24. DO NOT EDIT.\n", "generated"), ("src/a.py", "x = 1\n# @generated by tabelgen\n# more\n\n", "generated"), ("src/a.py", "x = 1\n# 此文件由 tabelgen 自动生成，请勿手工修改", "generated"),
+    ("src/a.js", "let x = 1;\n/*\n Produced by `wirebuild emit x` on build 5.3\n*/\n", "generated"), ("src/a.js", "let x = `\n// Code generated by x. DO NOT EDIT.\n`;\n", None), ("src/a.py", "x = 1\n# @generated by tabelgen\ny = 2\n", "generated"),
+    ("src/a.py", "x = 1\n# Copied from https://dl.example/1/b.py\n", "vendored"), ("src/a.py", "# about\n" * 40 + "# Code generated by x 1.2. DO NOT EDIT.\nx = 1\n", "generated"),
+    ("tools/emit.py", 'HEAD = """\n# Code generated by me. DO NOT EDIT.\n"""\n', None), ("tools/emit.py", "HEAD = f'''\\\n# @generated by {x}\n'''\n# the end, isn't it?\n", None), ("tools/emit.sh", "cat > a <<EOF\n# Code generated by emit. DO NOT EDIT.\nEOF\n", None),
+    ("a.yaml", "x: |\n  # Code generated by emit. DO NOT EDIT.\n", None), ("src/a.py", "x = []\n# do not modify while iterating\nfor i in x:\n    pass\n", None), ("src/a.py", "def f():\n    pass\n    # auto-generated ids are left out\n", None),
+])
+def test_notices_after_the_head(path, text, kind):
+    got = provenance.judge(path, text)
+    assert (got and got[0]) == kind
+
+
 def test_attribute_files_decide_by_depth_and_order(spark):
     rows = [
         (1, "p", ".gitattributes", "gen/** linguist-generated\n*.min.js -linguist-vendored -linguist-generated\n# note\n"), (2, "p", "gen/a.py", "x"), (3, "p", "gen/keep/.gitattributes", "*.py linguist-generated=false\n"), (4, "p", "gen/keep/b.py", "x"),
