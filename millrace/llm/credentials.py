@@ -28,25 +28,27 @@ TOKENS = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{20,}|xox[abprs]-[A-Za-z0-9-]{16,}|npm_[A-Za-z0-9]{20,}|AIza[\w-]{30,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9-]{20,}|hf_[A-Za-z0-9]{20,}|pypi-[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})"
 )
 TOKEN_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "npm_", "AIza", "sk_", "sk-", "rk_", "pk_", "hf_", "pypi-", "SG.", "eyJ")
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(.{40,20000}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-ACCOUNT_URL = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`]{3,200})@")
-LITERAL = re.compile(r"([\"'`])([^\s\"'`]{6,4000})\1")
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----BEGIN )){40,}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
+ACCOUNT_URL = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`]{3,})@")
+LITERAL = re.compile(r"([\"'`])([^\s\"'`]{6,})\1")
 NAME_AT_END = re.compile(r"[A-Za-z_][\w.-]*\Z")
-BARE = re.compile(r"(?m)^[ \t]*(?:[-*#+]|//|export|set|ENV)*[ \t]*([A-Za-z_][\w.-]*)[ \t]*[:=][ \t]*`?([^\s\"'`#;{(\[][^\s\"'`]{5,4000})`?[ \t]*(?:#.*)?\r?$")
-FLAG = re.compile(r"--?([A-Za-z][\w-]*)[= ]([^\s\"'`,;)<$]{6,400})")
-HEADER = re.compile(r"(?i)\b((?:proxy-)?authorization|x-[a-z0-9-]+|cookie|api-key)\s*[\"'`]?\s*[:,=]\s*[\"'`]?\s*(?:(?:bearer|basic|token|apikey|digest)\s+)?([^\s\"'`,;]{8,4000})")
+BARE = re.compile(r"(?m)^[ \t]*(?:[-*#+]|//|export|set|ENV)*[ \t]*([A-Za-z_][\w.-]*)[ \t]*[:=][ \t]*`?([^\s\"'`#;{(\[][^\s\"'`]{5,})`?[ \t]*(?:#.*)?\r?$")
+FLAG = re.compile(r"--?([A-Za-z][\w-]*)[= ]([^\s\"'`,;)<$]{6,})")
+HEADER = re.compile(r"(?i)\b((?:proxy-)?authorization|x-[a-z0-9-]+|cookie|api-key)\s*[\"'`]?\s*[:,=]\s*[\"'`]?\s*(?:(?:bearer|basic|token|apikey|digest)\s+)?([^\s\"'`,;]{8,})")
 BEARER = re.compile(r"(?i)\bbearer\s+([A-Za-z0-9._~+/=-]{16,})")
-FIELD = re.compile(r"(?i)(?:^|[;\s\"'`?&])(password|pwd|passwd|secret|token|accountkey|sharedaccesskey|apikey|api_key|access_token)\s*=\s*([^;\s\"'`&]{4,400})")
-NOTE = re.compile(r"([A-Za-z][\w.@-]{1,40})`?[ \t]+(/|with|:|pw|pass|password|passwd)[ \t]+`?([^\s`\"']{6,100})")
+FIELD = re.compile(r"(?i)(?:^|[;\s\"'`?&])(password|pwd|passwd|secret|token|accountkey|sharedaccesskey|apikey|api_key|access_token)\s*=\s*([^;\s\"'`&]{4,})")
+NOTE = re.compile(r"([A-Za-z][\w.@-]{1,40})`?[ \t]+(/|with|:|pw|pass|password|passwd)[ \t]+`?([^\s`\"']{6,})")
 NOTE_WORDS = re.compile(r"(?i)\b(?:log ?in|sign in|credentials?|account|user(?:name)?|use|password|pass|pw|access|staging|prod\w*)\b")
-SHORT_FLAG = re.compile(r"(?<=\s)-p([A-Za-z0-9][^\s\"'`]{7,200})")
+SHORT_FLAG = re.compile(r"(?<=\s)-p([A-Za-z0-9][^\s\"'`]{7,})")
 BASIC = re.compile(r"\b[Bb]asic[ \t]+([A-Za-z0-9+/]{8,}={0,2})")
-SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api key)(?!\w)(?:[ \t]+(?:is|was|for[ \t]+[\w.-]+(?:[ \t]+is)?))?[ \t]*[:=]?[ \t]*[\"'`]?([^\s\"'`,;<>(){}]{8,200})")
+SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api key)(?!\w)(?:[ \t]+(?:is|was|for[ \t]+[\w.-]+(?:[ \t]+is)?))?[ \t]*[:=]?[ \t]*[\"'`]?([^\s\"'`,;<>(){}]{8,})")
 NOTE_SIGNS = (" / ", " with ", " : ", " pw ", " pass")
 FIELD_WORDS = ("password", "pwd", "passwd", "secret", "token", "accountkey", "accesskey", "apikey", "api_key")
 SAID_WORDS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api key")
 JOIN = re.compile(r"([\"'])[ \t]*(?:\+|\\|\.)?[ \t]*(?:\r?\n[ \t]*)?(?:\+[ \t]*)?[bru]?\1(?=[^\"'\n])")
 HASHES = re.compile(r"(?i)^(?:(?:sha\d*|md5|git)[:-].*|[0-9a-f]{16,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|urn:.*|data:.*|ssh-(?:rsa|dss|ed25519).*|ecdsa-.*|v?\d+(?:\.\d+)+.*)$")
+# How encoded files begin: images, fonts, archives, documents, certificates and public keys, serialised objects.
+BLOB_STARTS = re.compile(r"^(?:iVBORw0KGgo|R0lGOD|/9j/|Qk[01]|UklGR|AAABAA|PHN2Zy|PD94bWw|d09G[Rj]|T1RUTw|AAEAAA|H4sI|UEsDB|QlpoO|N3q8rycc|/Td6WFo|KLUv|eJ[wxyz]|eNo|JVBERi|f0VMR|AGFzbQ|TVqQ|SUQz|T2dnUw|MII|LS0tLS1CRUdJTiB(?:DRVJU|QVUJMSUM)|eyJ2ZXJzaW9u|gASV|gAN)")
 SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -102,6 +104,20 @@ def name_before(head: str) -> tuple[str, str]:
     return (m[0], sign) if m else ("", "")
 
 
+def head_of(text: str, end: int) -> str:
+    """What stands before a literal, as far back as the name it is given to may begin."""
+    width = 80
+    while width < end:
+        head = text[end - width : end].rstrip(" \t\r\n(")
+        if head[-1:].isalpha():
+            head = head.rstrip("bBrRuUfF").rstrip(" \t(")
+        rest = head[:-1].rstrip(" \t=:")
+        if rest and re.search(r"[^\w.\[\], |:\s\"'`)-]|\n" if head[-1] == "=" else r"[^\w.\[\] |:\s\"'`)-]|\n", rest):
+            break
+        width *= 2
+    return text[max(0, end - width) : end]
+
+
 def name_speaks(name: str) -> int:
     """2: the name says credential, 0: it says hash, id or public; 1: it says nothing."""
     parts = [p.lower() for p in SPLIT_NAME.findall(name)]
@@ -118,6 +134,16 @@ def name_speaks(name: str) -> int:
     return 0 if parts[-1] in HASH_NAMES or {"public", "sha"} & set(parts) else 1
 
 
+def is_blob(value: str) -> bool:
+    """Whether a value without a telling name is data: an encoded file, or signs that repeat as random ones don't."""
+    if BLOB_STARTS.match(value):
+        return True
+    if len(value) <= 64:
+        return False
+    parts = [value[i : i + 4] for i in range(len(value) - 3)]
+    return bool(re.search(r"[^A-Za-z0-9+/=_.~-]", value)) or len(set(parts)) < 0.9 * len(parts)
+
+
 def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
     """Whether a literal under a name (see :func:`name_speaks`) is a credential by itself."""
     value = value.strip()
@@ -132,7 +158,7 @@ def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
         return False
     if speaks == 2:
         return left >= 3 and len(value) >= 6
-    return not HASHES.match(value) and 12 <= len(value) <= 64 and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
+    return not HASHES.match(value) and 12 <= len(value) and not is_blob(value) and left >= 10 and left >= 0.6 * len(value) and bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value))
 
 
 def account_in_base64(value: str) -> bool:
@@ -170,9 +196,16 @@ def find_credentials(content: str, words: dict[str, float], code: bool = False)
     def add(begin: int, end: int) -> None:
         spans.append((begin, end))
 
+    def in_rows(begin: int, end: int) -> bool:
+        # Data saved as code are wrapped into rows of one width.
+        at = [begin, *(size for size, _ in cuts if begin < size < end)]
+        return len(at) > 3 and len({b - a for a, b in zip(at, at[1:])}) == 1
+
     low = text.lower()
     for m in PRIVATE_KEY.finditer(text) if "PRIVATE KEY" in text else ():
-        if len(re.sub(r"\\n|[^A-Za-z0-9+/=]", "", m[1])) >= 40:
+        # A key without its end is cut off; a mention of the first line in a long text is not a key.
+        whole = m.end() > m.end(1) or len(m[1]) <= 20000 or re.fullmatch(r"[A-Za-z0-9+/=\s\\\"'`,:>|#*.-]+", m[1])
+        if whole and len(re.sub(r"\\n|[^A-Za-z0-9+/=]", "", m[1])) >= 40:
             add(m.start(), m.end())
     for m in ACCOUNT_URL.finditer(text) if "://" in text else ():
         if not PLACEHOLDER.match(m[1]) and not re.match(r"[A-Za-z]+\(|\{", m[1]):
@@ -180,9 +213,9 @@ def find_credentials(content: str, words: dict[str, float], code: bool = False)
     for m in TOKENS.finditer(text) if any(x in text for x in TOKEN_STARTS) else ():
         add(m.start(), m.end())
     for m in LITERAL.finditer(text):
-        name, sign = name_before(text[max(0, m.start() - 80) : m.start()])
+        name, sign = name_before(head_of(text, m.start()))
         speaks = name_speaks(name) if name else 0
-        if speaks and (speaks == 2 or sign != ",") and is_secret(m[2], speaks, words):
+        if speaks and (speaks == 2 or sign != ",") and is_secret(m[2], speaks, words) and not (speaks == 1 and len(m[2]) > 64 and in_rows(m.start(2), m.end(2))):
             add(m.start(2), m.end(2))
     for m in BARE.finditer(text) if not code else ():
         speaks = name_speaks(m[1])
@@ -203,8 +236,7 @@ def find_credentials(content: str, words: dict[str, float], code: bool = False)
     m = NOTE.search(text) if any(x in text for x in NOTE_SIGNS) else None
     while m:
         v = m[3].rstrip(".,")
-        line = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200) : m.end(1)]
-        if said_secret(v, words) and (m[2].startswith("p") or NOTE_WORDS.search(line)):
+        if said_secret(v, words) and (m[2].startswith("p") or NOTE_WORDS.search(text, text.rfind("\n", 0, m.start()) + 1, m.end(1))):
             add(m.start(3), m.start(3) + len(v))
         m = NOTE.search(text, m.start(3))
     for m in SHORT_FLAG.finditer(text) if " -p" in text else ():
