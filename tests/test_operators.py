@@ -176,3 +176,10 @@ def test_large_evidence_is_compressed_within_budget():
     content = "abcd " * 1600
     short = packing.keep_head_and_tail(content, 300)
     assert short is not None and packing.count_tokens(short) <= 300 and "left out" in short and short.startswith("abcd") and short.endswith("abcd ")
+
+
+def test_components_are_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.node, r.component) for r in connected_components(chain).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        connected_components(chain, rounds=1)
