@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -182,11 +185,26 @@ def f40_json_arrays(spark: SparkSession, base: str) -> DataFrame:
 
 @query("with recursive j as (select candidate_id, candidate_json::json as v from (select distinct candidate_id, candidate_json from memory_curation_decisions)), k as (select candidate_id, v, unnest(json_keys(v)) as key from j), a as (select candidate_id, key as path, json_extract(v, '$.' || key) as v from k union all select a.candidate_id, a.path || '.' || t.key, json_extract(a.v, '$.' || t.key) from a, lateral (select unnest(json_keys(a.v)) as key) t where json_type(a.v) = 'OBJECT') select path, count(*)::bigint as n from a group by path")
 def f41_json_paths(spark: SparkSession, base: str) -> DataFrame:
-    """All paths of nested JSON objects with their counts; two levels, as deep as these records go."""
+    """All paths of nested JSON objects with their counts, however deep."""
     d = read_table(spark, base, "memory_curation_decisions").select("candidate_id", "candidate_json").distinct()
-    top = d.select(F.explode(F.from_json("candidate_json", "map<string,string>")).alias("key", "v"))
-    second = top.where(F.col("v").startswith("{")).select("key", F.explode(F.from_json("v", "map<string,string>")).alias("k2", "v2"))
-    return top.select(F.col("key").alias("path")).unionAll(second.select(F.concat_ws(".", "key", "k2"))).groupBy("path").agg(F.count("*").alias("n"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: Counter[str] = Counter()
+            for text in pdf["candidate_json"].dropna():
+                try:
+                    rest = [("", json.loads(text, object_pairs_hook=tuple))]
+                except ValueError:
+                    continue
+                while rest:
+                    before, value = rest.pop()
+                    if isinstance(value, tuple):  # an object; arrays are lists
+                        inner = [(before + key, v) for key, v in value]
+                        found.update(path for path, _ in inner)
+                        rest += [(path + ".", v) for path, v in inner]
+            yield pd.DataFrame({"path": list(found.keys()), "n": list(found.values())})
+
+    return d.mapInPandas(walk, "path string, n bigint").groupBy("path").agg(F.sum("n").alias("n"))
 
 
 @query("select memory_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' as iso, epoch_us(created_at)::bigint as micros from memories")

@@ -47,3 +47,13 @@ def test_query(spark, duck, name):
     names = [d[0] for d in r.description]
     assert sorted(names) == columns
     assert rows == sorted(tuple(norm(x[names.index(c)]) for c in columns) for x in r.fetchall())
+
+
+def test_json_paths_of_any_depth(spark, tmp_path):
+    texts = ['{"a": {"b": {"c": {"d": 1}}, "e": [{"x": 1}]}, "f": "{\\"g\\": 1}", "h": null}', '{"a": {"b": 2}}', "{}"]
+    spark.createDataFrame(list(enumerate(texts)), "candidate_id long, candidate_json string").write.parquet(f"{tmp_path}/memory_curation_decisions.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view memory_curation_decisions as select * from '{tmp_path}/memory_curation_decisions.parquet/*.parquet'")
+    got = {(r.path, r.n) for r in catalog.queries()["f41_json_paths"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.oracle_sql()["f41_json_paths"]).fetchall())
+    assert ("a.b.c.d", 1) in got and ("f.g", 1) not in got
