@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, shuffle_width
+from .files import may_meet, pairs_in_files
 
 PREFIX = 16
 #: The prefix of a pivot order, four 16-bit numbers in each column.
 PACKED = [f"p{i}" for i in range(PREFIX // 4)]
 _P = ", ".join(f"{p} bigint" for p in PACKED)
-#: Marks of rows whose file was not cut, and of rows that meet the rows of their own block.
-NOT_CUT, WITHIN = -2, -1
+#: Pivots that are drawn: as many as keep the mean inverted file at FILE rows, within these bounds.
+LEAST_PIVOTS, MOST_PIVOTS, FILE = 1024, 16384, 16
 
 
 def unit_vectors(df: DataFrame, id_col: str, model_col: str, vector: Column, dim: int = 64) -> DataFrame:
@@ -64,7 +66,7 @@ def unit_vectors(df: DataFrame, id_col: str, model_col: str, vector: Column, dim
     return src.mapInPandas(scale, "id string, model string, vec array<float>")
 
 
-def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross: np.ndarray, side: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, side: np.ndarray, limit: int) -> Iterator[np.ndarray]:
     """Pairs (smaller, larger class) with equal keys whose footrule distance is within the limit; rows are sorted by key."""
     i = np.arange(PREFIX)
     gain = (np.abs(i[:, None] - i[None, :]) - (PREFIX - i)[:, None] - (PREFIX - i)[None, :]).astype(np.float32).ravel()
@@ -78,7 +80,7 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross
         for s in range(0, len(alive), 20_000):
             a = alive[s : s + 20_000]
             b = a + d
-            ok = (cids[a] != cids[b]) & ~(cross[a] & (side[a] == side[b]))
+            ok = (cids[a] != cids[b]) & may_meet(side, a, b)
             a, b = a[ok], b[ok]
             same = (perms[a][:, :, None] == perms[b][:, None, :]).reshape(len(a), PREFIX * PREFIX)
             near = PREFIX * (PREFIX + 1) + same.astype(np.float32) @ gain <= limit
@@ -88,16 +90,31 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, cross
         d += 1
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int = 1024, posted: int = 5, key_pivots: int = 2, max_footrule: int = 112, block: int = 4096) -> DataFrame:
+def pivots_for(n: int, keys: int) -> int:
+    """How many pivots n vectors get that are posted under so many pairs of pivots each.
+
+    The number of possible files grows with the square of the pivots, so pivots grow with the root of n and
+    the mean file keeps its length; work then grows as n to 1.5 at most, until MOST_PIVOTS is reached.
+    """
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << math.ceil(math.log2(math.sqrt(2 * keys * max(1, n) / FILE)))))
+
+
+def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int | None = None, posted: int = 6, key_pivots: int = 2, max_footrule: int = 176, block: int = 4096, exact: bool = False) -> DataFrame:
     """The k most similar vectors of the same model for every vector: (id, other, cosine, rank).
 
-    ``vectors`` comes from :func:`unit_vectors`. Equal vectors form one class, searched once and expanded at
-    the end; among equal cosines the smaller id ranks first. ``pivots`` is the bounded, documented sample
-    (by hash of the id) from which the pivot set is drawn; every vector is indexed. An inverted file longer
-    than ``block`` is cut into block pairs, each a task of bounded size, so no file is truncated. Repeated
-    ids count once. An empty input gives an empty result.
+    ``vectors`` comes from :func:`unit_vectors`. Vectors that agree to 4 decimals in each number form one
+    class with a cosine of 1 (the true one is above 1 - 1e-6), searched once and expanded at the end; among
+    equal cosines the smaller id ranks first. The pivot set is a bounded sample (by hash of the id), of
+    ``pivots`` vectors or, without a number, as :func:`pivots_for` says; every vector is indexed. An inverted
+    file longer than ``block`` is cut into block pairs, each a task of bounded size, so no file is truncated.
+    Repeated ids count once. An empty input gives an empty result. The index is made for near vectors (the
+    README gives its recall); with ``exact`` all vectors of a model are compared and only those of a cosine
+    of ``min_cos`` or more are kept.
     """
+    if exact:
+        return nearest_vectors(vectors, k).where(F.col("cosine") >= min_cos)
     rows, classes = _classes(vectors)
+    pivots = pivots or pivots_for(classes.count(), math.comb(posted, key_pivots))
     chosen = classes.select("vec", F.xxhash64("cid").alias("h")).orderBy("h").limit(pivots).collect()
     if len(chosen) < key_pivots:
         pairs = classes.select(F.col("cid").alias("a"), "model").join(classes.select(F.col("cid").alias("b"), "model"), "model").where("a < b").select("a", "b")
@@ -207,9 +224,8 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = share.value
         width = min(PREFIX, len(p))
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        step = max(1, 8_000_000 // len(p))
+        for pdf in (x.iloc[i : i + step] for x in batches for i in range(0, len(x), step)):
             v = np.array(pdf["vec"].tolist(), dtype=np.float32).reshape(len(pdf), p.shape[1])
             s = v @ p.T
             part = np.argpartition(-s, width - 1, axis=1)[:, :width]
@@ -223,65 +239,9 @@ def _candidates(classes: DataFrame, pivot: np.ndarray, posted: int, key_pivots:
             packed = np.repeat(perm.view(np.int64), len(combos), axis=0)
             yield pd.DataFrame({"cid": np.repeat(pdf["cid"].to_numpy(), len(combos)), "model": np.repeat(pdf["model"].to_numpy(), len(combos)), "pk": key.ravel(), **{p: packed[:, i] for i, p in enumerate(PACKED)}})
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of each file of the sorted rows; the rows of a file longer than a block are passed on (a null)."""
-        rest: list[pd.DataFrame] = []
-        held, passing = 0, None
-
-        def pairs(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            perms = np.ascontiguousarray(done[PACKED].to_numpy()).view(np.uint16)
-            side = done["side"].to_numpy()
-            got = list(_footrule_pairs(done["key"].to_numpy(), done["cid"].to_numpy(), perms, side >= 0, side, max_footrule))
-            if got:
-                u = np.unique(np.concatenate(got), axis=0)
-                yield pd.DataFrame({"a": u[:, 0], "b": u[:, 1], "key": 0, **dict.fromkeys(PACKED, 0)})
-
-        def long_rows(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"a": rows["cid"], "b": None, "key": rows["key"], **{p: rows[p] for p in PACKED}}).astype({"b": "Int64"})
-
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None and len(pdf):
-                if passing is not None:
-                    cut = int(np.searchsorted(pdf["key"].to_numpy(), passing, side="right"))
-                    if cut:
-                        yield long_rows(pdf.iloc[:cut])
-                    if cut == len(pdf):
-                        continue
-                    pdf, passing = pdf.iloc[cut:], None
-                rest.append(pdf)
-                held += len(pdf)
-                if held < 20_000:
-                    continue
-            if not rest:
-                continue
-            whole = pd.concat(rest, ignore_index=True)
-            keys = whole["key"].to_numpy()
-            cut = len(whole) if pdf is None else int(np.searchsorted(keys, keys[-1]))
-            done, open_file = whole.iloc[:cut], whole.iloc[cut:]
-            at, size = np.unique(done["key"].to_numpy(), return_counts=True)
-            for k in at[(size > block) & (done["side"].iat[0] == NOT_CUT if len(done) else False)]:
-                yield long_rows(done[done["key"] == k])
-                done = done[done["key"] != k]
-            if len(done) > 1:
-                yield from pairs(done)
-            if len(open_file) > block and open_file["side"].iat[0] == NOT_CUT:
-                passing = open_file["key"].iat[0]
-                yield long_rows(open_file)
-                open_file = open_file.iloc[:0]
-            rest, held = ([open_file], len(open_file)) if len(open_file) else ([], 0)
-
-    postings = classes.mapInPandas(post, f"cid bigint, model string, pk bigint, {_P}").select(F.xxhash64("model", "pk").alias("key"), "cid", *PACKED, F.lit(NOT_CUT).alias("side"))
-    schema = f"a bigint, b bigint, key bigint, {_P}"
-    first = materialise(postings.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).distinct())
-    met = first.where("b is not null").select("a", "b")
-    long = first.where("b is null")
-    if long.isEmpty():
-        return met
-    # Long files: blocks by hash of the class; each row visits the tasks of all pairs of blocks with its own block.
-    blocks = long.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    marked = long.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
-    tasks = marked.select("key", F.col("a").alias("cid"), *PACKED, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # Rows within one block meet once, in the task (own, own); elsewhere only rows of different sides meet.
-    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", *PACKED, F.when(F.col("own") == F.col("other"), F.lit(WITHIN)).otherwise(F.col("own")).alias("side"))
-    second = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(meet, schema).select("a", "b")
-    return met.unionByName(second).distinct()
+    def compare(rows: pd.DataFrame) -> Iterator[np.ndarray]:
+        perms = np.ascontiguousarray(rows[PACKED].to_numpy()).view(np.uint16)
+        return _footrule_pairs(rows["key"].to_numpy(), rows["cid"].to_numpy(), perms, rows["side"].to_numpy(), max_footrule)
+
+    postings = classes.mapInPandas(post, f"cid bigint, model string, pk bigint, {_P}").select(F.xxhash64("model", "pk").alias("key"), "cid", *PACKED)
+    return pairs_in_files(postings, _P, compare, block)
