@@ -4,7 +4,7 @@ Words are lower-cased maximal runs of letters and digits. The agreement of two c
 common words, counted with repetition and in any order, divided by the word count of the longer one.
 
 Candidates come from an exact (lossless) prefix index over word occurrences, rarest first. Each posting
-carries 128 one-bit MinHash values of the content. A pair's values are compared 32 at a time, and it is
+carries 256 one-bit MinHash values of the content. A pair's values are compared 32 at a time, and it is
 dropped as soon as the posterior probability of reaching the threshold falls below ``tolerance``. The
 pairs that are left are verified exactly.
 """
@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
+from .files import may_meet, pairs_in_files
 
 WORD = r"[\p{L}\p{N}]+"
-STEP, BITS = 32, 128
+STEP, BITS = 32, 256
+#: The one-bit values of a content, 64 in each column.
+SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
 
 def _posterior(m: int, n: int, jaccard: float) -> float:
@@ -42,42 +45,46 @@ def least_matches(jaccard: float, tolerance: float) -> list[int]:
 
 
 def content_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, words, cid): the sorted words and the class of contents with the same words; rows without words or id are left out."""
+    """(id, n, words, cid): the sorted words and the class of contents with the same words; rows without words or id are left out, repeated rows repeat."""
     words = F.array_sort(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))
-    out = df.select(F.col(id_col).cast("string").alias("id"), words.alias("words")).where("id is not null and size(words) > 0").distinct()
+    out = df.select(F.col(id_col).cast("string").alias("id"), words.alias("words")).where("id is not null and size(words) > 0")
     return out.select("id", F.size("words").alias("n"), "words", F.xxhash64(F.array_join("words", " ")).alias("cid"))
 
 
-def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance: float = 1e-4, frequent: int = 32768, short: int = 200, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance: float = 1e-4, frequent: int = 32768, rare: int = 128, short: int = 200, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(links, members): links(a, b, agreement) between classes of equal words, members(id, cid).
 
     ``frequent`` bounds the table of the most frequent words that every task gets; all other words count
-    as equally rare. That order steers speed only: the prefix index is lossless under any order. Contents
-    of up to ``short`` words are posted under pairs of prefix words, longer ones under single prefix
-    words. Inverted files longer than ``block`` are cut into block pairs, none is truncated.
+    as equally rare. The table steers speed only: the prefix index is lossless whatever it holds. Two
+    contents that agree share at least two words of their prefixes, which are longer by one word than needed
+    for one. Words with up to ``rare`` occurrences are posted by themselves, the others of a content of up
+    to ``short`` words in pairs; longer contents post all prefix words by themselves. Inverted files longer
+    than ``block`` are cut into block pairs, none is truncated.
     """
     spark = words.sparkSession
-    members = words.select("id", "cid")
+    members = words.select("id", "cid").distinct()
     classes = materialise(words.select("cid", "n", "words").dropDuplicates(["cid"]))
     top = classes.select(F.explode("words").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(frequent).collect()
-    order = spark.sparkContext.broadcast({r.w: i + 1 for i, r in enumerate(reversed(top))})
+    order = spark.sparkContext.broadcast({r.w: (i + 1, r["count"] > rare) for i, r in enumerate(reversed(top))})
     rng = np.random.default_rng(20240521)
     mul = rng.integers(1, 2**63, BITS, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**63, BITS, dtype=np.uint64)
     jaccard = threshold / (2 - threshold)
-
-    def keys_of(toks: list[tuple[int, int]], n: int) -> Iterator[int]:
-        base = n - math.ceil(threshold * n - 1e-9) + 1
+    least = lambda n: math.ceil(threshold * n - 1e-9)
+
+    def keys_of(toks: list[tuple[int, bool, int]]) -> Iterator[int]:
+        n = len(toks)
+        base = n - least(n) + 1
+        prefix = sorted(toks)[: base + 1]
+        for k, (_, common, h) in enumerate(prefix):
+            # One shared word may be all if this content or one that agrees with it is that short.
+            if not common or k < base and (n > short * threshold or least(least(n)) < 2):
+                yield h | 1
         if n <= short:
-            pre = np.array([h for _, h in sorted(toks)[: base + 1]], dtype=np.uint64)
-            if len(pre) < 2 or math.ceil(threshold * n - 1e-9) < 2:  # one shared word may be all
-                yield from (int(x) for x in (pre | np.uint64(1)))
-            if len(pre) >= 2:
-                i, j = np.triu_indices(len(pre), 1)
-                lo, hi = np.minimum(pre[i], pre[j]), np.maximum(pre[i], pre[j])
-                yield from (int(x) for x in (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) & ~np.uint64(1))
-        if n * 1.0 > short * threshold:
-            yield from (h ^ 0x5BD1E995 for _, h in sorted(toks)[:base])
+            pre = np.array([h for _, common, h in prefix if common], dtype=np.uint64)
+            i, j = np.triu_indices(len(pre), 1)
+            lo, hi = np.minimum(pre[i], pre[j]), np.maximum(pre[i], pre[j])
+            yield from (int(x) for x in (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) & ~np.uint64(1))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = order.value
@@ -91,9 +98,9 @@ def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance:
                 for w in ws:
                     seen = seen + 1 if w == last else 0
                     last = w
-                    toks.append((rank.get(w, 0), xxhash.xxh64_intdigest(w, seed=seen)))
-                hashes.extend(h for _, h in toks)
-                postings.append(list(keys_of(toks, len(toks))))
+                    toks.append((*rank.get(w, (0, False)), xxhash.xxh64_intdigest(w, seed=seen)))
+                hashes.extend(h for _, _, h in toks)
+                postings.append(list(keys_of(toks)))
             h = np.array(hashes, dtype=np.uint64)
             sig = np.zeros((len(pdf), BITS), dtype=np.uint8)
             for b in range(BITS):
@@ -107,32 +114,12 @@ def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance:
             at = np.repeat(np.arange(len(pdf)), cnt)
             for s in range(0, len(at), 200_000):
                 a = at[s : s + 200_000]
-                yield pd.DataFrame({"key": keys[s : s + 200_000], "cid": cids[a], "n": ns[a], "s0": packed[a, 0], "s1": packed[a, 1]})
-
-    postings = classes.mapInPandas(post, "key bigint, cid bigint, n int, s0 bigint, s1 bigint")
-    sizes = postings.groupBy("key").count().where("count > 1").select("key", F.when(F.col("count") > block, F.ceil(F.col("count") / block)).cast("int").alias("blocks"))
-    hot = sizes.where("blocks is not null")
-    marked = postings.join(hot, "key", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), "blocks")).cast("int"))
-    visits = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = marked.select("key", "cid", "n", "s0", "s1", "own", F.explode(visits).alias("other"))
-    tasks = tasks.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "cid", "n", "s0", "s1", F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side"))
-    need = least_matches(jaccard, tolerance)
+                yield pd.DataFrame({"key": keys[s : s + 200_000], "cid": cids[a], "n": ns[a], **{c: packed[a, i] for i, c in enumerate(SIGNATURE)}})
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None and len(pdf):
-                rest.append(pdf)
-                if rest[0]["key"].iat[0] == pdf["key"].iat[-1] or sum(map(len, rest)) < 50_000:
-                    continue
-            if not rest:
-                continue
-            whole = pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0]
-            cut = len(whole) if pdf is None else int(np.searchsorted(whole["key"].to_numpy(), whole["key"].iat[-1]))
-            done, rest = whole.iloc[:cut], [whole.iloc[cut:]] if cut < len(whole) else []
-            yield from _pairs(done, threshold, need)
-
-    pairs = tasks.repartition("key").sortWithinPartitions("key").mapInPandas(meet, "a bigint, b bigint").distinct()
+    payload = "n int, " + ", ".join(f"{c} bigint" for c in SIGNATURE)
+    need = least_matches(jaccard, tolerance)
+    postings = classes.mapInPandas(post, f"key bigint, cid bigint, {payload}")
+    pairs = pairs_in_files(postings, payload, lambda rows: _pairs(rows, threshold, need), block, 50_000)
     wa, wb = classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), classes.select(F.col("cid").alias("b"), F.col("words").alias("wb"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,10 +140,10 @@ def near_duplicate_classes(words: DataFrame, threshold: float = 0.8, tolerance:
     return links, members
 
 
-def _pairs(done: pd.DataFrame, threshold: float, need: list[int]) -> Iterator[pd.DataFrame]:
+def _pairs(done: pd.DataFrame, threshold: float, need: list[int]) -> Iterator[np.ndarray]:
     """Pairs of rows with equal keys (sorted) that survive the length bound and the Bayesian pruning."""
     keys, cids, ns, side = (done[c].to_numpy() for c in ("key", "cid", "n", "side"))
-    sig = np.stack([done["s0"].to_numpy(), done["s1"].to_numpy()], axis=1).view(np.uint32)
+    sig = np.stack([done[c].to_numpy() for c in SIGNATURE], axis=1).view(np.uint32)
     alive, d = np.arange(len(done) - 1), 1
     while len(alive):
         alive = alive[alive + d < len(done)]
@@ -164,7 +151,7 @@ def _pairs(done: pd.DataFrame, threshold: float, need: list[int]) -> Iterator[pd
         for s in range(0, len(alive), 500_000):
             a = alive[s : s + 500_000]
             b = a + d
-            ok = (cids[a] != cids[b]) & ((side[a] < 0) | (side[a] != side[b])) & (np.minimum(ns[a], ns[b]) >= threshold * np.maximum(ns[a], ns[b]) - 1e-9)
+            ok = (cids[a] != cids[b]) & may_meet(side, a, b) & (np.minimum(ns[a], ns[b]) >= threshold * np.maximum(ns[a], ns[b]) - 1e-9)
             a, b = a[ok], b[ok]
             agree = np.zeros(len(a), dtype=np.int64)
             for part, least in enumerate(need):
@@ -172,7 +159,7 @@ def _pairs(done: pd.DataFrame, threshold: float, need: list[int]) -> Iterator[pd
                 ok = agree >= least
                 a, b, agree = a[ok], b[ok], agree[ok]
             if len(a):
-                yield pd.DataFrame({"a": np.minimum(cids[a], cids[b]), "b": np.maximum(cids[a], cids[b])}).drop_duplicates()
+                yield np.stack([np.minimum(cids[a], cids[b]), np.maximum(cids[a], cids[b])], axis=1)
         d += 1
 
 
