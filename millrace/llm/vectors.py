@@ -26,7 +26,7 @@ PREFIX = 16
 PACKED = [f"p{i}" for i in range(PREFIX // 4)]
 _P = ", ".join(f"{p} bigint" for p in PACKED)
 #: Pivots that are drawn: as many as keep the mean inverted file at FILE rows, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS, FILE = 1024, 16384, 16
+LEAST_PIVOTS, MOST_PIVOTS, FILE = 2048, 16384, 1
 
 
 def unit_vectors(df: DataFrame, id_col: str, model_col: str, vector: Column, dim: int = 64) -> DataFrame:
@@ -94,12 +94,12 @@ def pivots_for(n: int, keys: int) -> int:
     """How many pivots n vectors get that are posted under so many pairs of pivots each.
 
     The number of possible files grows with the square of the pivots, so pivots grow with the root of n and
-    the mean file keeps its length; work then grows as n to 1.5 at most, until MOST_PIVOTS is reached.
+    the mean file would keep its length if they were equally long; work then grows as n to 1.5 at most, until MOST_PIVOTS is reached.
     """
-    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 1 << math.ceil(math.log2(math.sqrt(2 * keys * max(1, n) / FILE)))))
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, 256 * math.ceil(math.sqrt(2 * keys * n / FILE) / 256)))
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int | None = None, posted: int = 6, key_pivots: int = 2, max_footrule: int = 176, block: int = 4096, exact: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int | None = None, posted: int = 6, key_pivots: int = 2, max_footrule: int = 152, block: int = 4096, exact: bool = False) -> DataFrame:
     """The k most similar vectors of the same model for every vector: (id, other, cosine, rank).
 
     ``vectors`` comes from :func:`unit_vectors`. Vectors that agree to 4 decimals in each number form one
