@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +30,38 @@ HALO = 256
 def text_ranges(df: DataFrame, id_col: str, text_col: str, limit: int, range_chars: int) -> DataFrame:
     """(id, r, body, ahead): the ranges of every text longer than the limit.
 
-    Their length is a multiple of the cells of the boundary tables, so the cuts don't depend on it.
+    Their length is a multiple of the cells of the boundary tables, so the cuts don't depend on it. Each text is
+    read through once and its ranges leave one after the other.
     """
     cell = max(1, limit // 16)
     range_chars = max(1, range_chars // cell) * cell
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null").where(F.length("text") > limit)
-    cut = src.select("id", "text", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / range_chars).cast("int"))).alias("r"))
-    return cut.select("id", "r", F.expr(f"substring(text, r * {range_chars} + 1, {range_chars})").alias("body"), F.expr(f"substring(text, (r + 1) * {range_chars} + 1, {HALO})").alias("ahead"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, held = [], 0
+            for i, text in zip(pdf["id"], pdf["text"]):
+                for r, at in enumerate(range(0, len(text), range_chars)):
+                    end = at + range_chars
+                    rows.append((i, r, text[at:end], text[end : end + HALO]))
+                    held += range_chars
+                    if held > 16_000_000:
+                        yield pd.DataFrame(rows, columns=["id", "r", "body", "ahead"])
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["id", "r", "body", "ahead"])
+
+    return src.mapInPandas(cut, "id string, r int, body string, ahead string")
+
+
+def read_range(path: str, at: int, size: int) -> bytes:
+    """Bytes of a file from the offset on; the path is a local one or a URI of any file system that pyarrow knows (hdfs, s3, gs, file)."""
+    files, inner = fs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
+    with files.open_input_file(inner) as f:
+        return f.read_at(size, at) if at < f.size() else b""
 
 
 def file_ranges(files: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
-    """(id, r, body, ahead) of UTF-8 files (id, path, bytes) on a folder that all executors share, by byte ranges.
+    """(id, r, body, ahead) of UTF-8 files (id, path, bytes) on a file system that all executors reach, by byte ranges.
 
     A character belongs to the range in which its first byte lies; wrong bytes are replaced. Each task
     reads its range and a halo, never the whole file.
@@ -52,9 +74,8 @@ def file_ranges(files: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
 
         for pdf in batches:
             for i, path, r in zip(pdf["id"], pdf["path"], pdf["r"]):
-                with open(path, "rb") as f:
-                    f.seek(r * range_bytes)
-                    own, more = f.read(range_bytes), f.read(4 * HALO)
+                raw = read_range(path, r * range_bytes, range_bytes + 4 * HALO)
+                own, more = raw[:range_bytes], raw[range_bytes:]
                 own = own[skip(own) if r else 0 :] + more[: skip(more)]
                 more = more[skip(more) :]
                 yield pd.DataFrame({"id": [i], "r": [r], "body": [own.decode("utf-8", "replace")], "ahead": [more.decode("utf-8", "ignore")[:HALO]]})
