@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with documents, by hierarchical residual packing.
 
 Every partition fits its items best-fit-decreasing and emits the bins that are nearly full. Underfull
-bins become items and are merged, fewer partitions each round, until one round can hold the rest.
+bins become the items of the next round, which has fewer partitions, down to one: a tree of merges.
 """
 
 from __future__ import annotations
@@ -56,29 +56,34 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.98, rows_per_task: int = 200_000, rounds: int = 8) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.98, rows_per_task: int = 20_000, leaves: int = 4, fan_in: int = 4) -> DataFrame:
     """(container, id, part, parts, tokens): every item of ``sizes`` (id, tokens) in one container of the capacity.
 
     Only an item longer than the capacity is split: into full containers of its own and a remainder that
     is packed like an item. Items of 0 or null tokens take no room and share container ``empty``.
-    Repeated ids are kept as separate rows. An empty table gives no containers. Bins filled to ``full`` are
-    emitted by the task that made them; the rest goes into the next round with a fourth of the tasks.
+    Repeated ids are kept as separate rows. An empty table gives no containers. The first round has a task
+    for each ``rows_per_task`` items, ``leaves`` at least; bins filled to ``full`` are emitted by the task
+    that made them, the others are the items of the next round with as many tasks divided by ``fan_in``, down to
+    one. Where more bins than one task takes can't be filled, the tree ends when a round merges
+    less than one in a hundred.
+    The result depends on the items alone, not on their order or on the run.
     """
-    spark = sizes.sparkSession
     items = sizes.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("tokens"))
+    # Equal rows are counted, then numbered, so that each piece has a name of its own.
+    counted = items.groupBy("id", "tokens").agg(F.count("*").alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
-    cut = items.select("id", parts.alias("parts"), "tokens", F.explode(F.sequence(F.lit(1), parts)).alias("part"))
-    cut = cut.select("id", "part", "parts", F.when(F.col("part") < F.col("parts"), capacity).otherwise(F.col("tokens") - capacity * (F.col("parts") - 1)).cast("bigint").alias("tokens"))
-    cut = materialise(cut)
-    piece = F.struct("id", "part", "parts", "tokens")
+    each = counted.select("id", "tokens", parts.alias("parts"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
+    cut = each.select("id", "copy", "parts", "tokens", F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
+    cut = materialise(cut.select("id", "copy", "part", "parts", F.when(F.col("part") < F.col("parts"), capacity).otherwise(F.col("tokens") - capacity * (F.col("parts") - 1)).cast("bigint").alias("tokens")))
     done = cut.where("tokens = 0").select(F.lit("empty").alias("container"), "id", "part", "parts", "tokens")
-    whole = cut.where(F.col("tokens") == capacity).select(F.expr("concat('w', id, '-', part, '-', uuid())").alias("container"), "id", "part", "parts", "tokens")
-    open_bins = cut.where((F.col("tokens") > 0) & (F.col("tokens") < capacity)).select("tokens", F.array(piece).alias("items"))
-    schema = "done boolean, tokens bigint, items array<struct<id:bigint,part:int,parts:int,tokens:bigint>>"
-    total = cut.count()
-    tasks = max(1, -(-total // rows_per_task))
-    closed = []
-    for step in range(rounds):
+    # Rows of one id may have different lengths, hence parts in the name.
+    whole = cut.where(F.col("tokens") == capacity).select(F.concat_ws("-", F.concat(F.lit("w"), "id"), "part", "parts", "copy").alias("container"), "id", "part", "parts", "tokens")
+    open_bins = cut.where((F.col("tokens") > 0) & (F.col("tokens") < capacity)).select("tokens", F.array(F.struct("id", "copy", "part", "parts", "tokens")).alias("items"))
+    schema = "done boolean, tokens bigint, items array<struct<id:bigint,copy:bigint,part:int,parts:int,tokens:bigint>>"
+    left = cut.count()
+    tasks = max(leaves, -(-left // rows_per_task))
+    closed, step = [], 0
+    while True:
         last = tasks == 1
 
         def fit(batches: Iterator[pd.DataFrame], last: bool = last) -> Iterator[pd.DataFrame]:
@@ -97,16 +102,18 @@ def pack(sizes: DataFrame, capacity: int = 4096, full: float = 0.98, rows_per_ta
             if out:
                 yield pd.DataFrame(out, columns=["done", "tokens", "items"])
 
-        spread = open_bins.repartition(tasks, F.xxhash64(F.col("items")[0]["id"], F.lit(step)))
+        spread = open_bins.repartition(tasks, F.xxhash64(F.col("items")[0], F.lit(step))).sortWithinPartitions(F.desc("tokens"), F.col("items")[0])
         fitted = materialise(spread.mapInPandas(fit, schema))
         closed.append(fitted.where("done"))
         if last:
             break
         open_bins = fitted.where("not done").select("tokens", "items")
-        left = open_bins.count()
-        tasks = 1 if left <= rows_per_task else min(max(1, tasks // 4), -(-left // rows_per_task) if step < rounds - 2 else tasks)
-    if not last:
-        closed.append(open_bins.select(F.lit(True).alias("done"), "tokens", "items"))
+        before, left, step = left, open_bins.count(), step + 1
+        fewer = max(1, tasks // fan_in, -(-left // rows_per_task))
+        if fewer >= tasks and left > 0.99 * before:
+            closed.append(open_bins.select(F.lit(True).alias("done"), "tokens", "items"))
+            break
+        tasks = min(fewer, tasks)
     bins = closed[0]
     for x in closed[1:]:
         bins = bins.unionByName(x)
