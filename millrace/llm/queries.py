@@ -115,7 +115,7 @@ def _quality(spark: SparkSession, base: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Documents in which less than half of the characters stand in running sentences."""
-    return _quality(spark, base).where("running_share < 0.5").select("doc_id").distinct()
+    return quality.unnatural(_quality(spark, base)).select("doc_id").distinct()
 
 
 def p9_statistics(spark: SparkSession, base: str) -> DataFrame:
