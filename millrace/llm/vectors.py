@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from ..runtime import materialise, shuffle_width
 from .files import may_meet, pairs_in_files
 
-PREFIX = 16
+PREFIX = 24
 #: The prefix of a pivot order, four 16-bit numbers in each column.
 PACKED = [f"p{i}" for i in range(PREFIX // 4)]
 _P = ", ".join(f"{p} bigint" for p in PACKED)
 #: Pivots that are drawn: as many as keep the mean inverted file at FILE rows, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS, FILE = 2048, 16384, 1
+LEAST_PIVOTS, MOST_PIVOTS, FILE = 1024, 16384, 0.375
 
 
 def unit_vectors(df: DataFrame, id_col: str, model_col: str, vector: Column, dim: int = 64) -> DataFrame:
@@ -77,8 +77,8 @@ def _footrule_pairs(keys: np.ndarray, cids: np.ndarray, perms: np.ndarray, side:
         alive = alive[keys[alive] == keys[alive + d]]
         if not len(alive):
             return
-        for s in range(0, len(alive), 20_000):
-            a = alive[s : s + 20_000]
+        for s in range(0, len(alive), 10_000):
+            a = alive[s : s + 10_000]
             b = a + d
             ok = (cids[a] != cids[b]) & may_meet(side, a, b)
             a, b = a[ok], b[ok]
@@ -99,7 +99,7 @@ def pivots_for(n: int, keys: int) -> int:
     return min(MOST_PIVOTS, max(LEAST_PIVOTS, 256 * math.ceil(math.sqrt(2 * keys * n / FILE) / 256)))
 
 
-def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int | None = None, posted: int = 6, key_pivots: int = 2, max_footrule: int = 152, block: int = 4096, exact: bool = False) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots: int | None = None, posted: int = 6, key_pivots: int = 2, max_footrule: int = 300, block: int = 4096, exact: bool = False) -> DataFrame:
     """The k most similar vectors of the same model for every vector: (id, other, cosine, rank).
 
     ``vectors`` comes from :func:`unit_vectors`. Vectors that agree to 4 decimals in each number form one
