@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a token and as a Chinese character.
 TOKEN = "[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[㐀-䶿一-鿿]+"
 CJK = "[㐀-䶿一-鿿]"
 # Words that carry no meaning in a query.
@@ -18,6 +19,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+#: The same for Arrow batches.
+TOKENS = re.compile(TOKEN)
+
+
+def word_terms(word: str) -> list[str]:
+    """A folded token as with_bigrams gives it, for Arrow batches."""
+    return [word, *(word[i : i + 2] for i in range(len(word) - 1))] if word[0] > "\u3000" else [word]
+
+
+def word_features(token: str) -> list[str]:
+    """What one token of a text adds to its features, for Arrow batches."""
+    parts = [token.lower(), *(x.lower() for x in TOKENS.findall(re.sub("([a-z0-9])(?=[A-Z])", r"\1 ", token)))]
+    return [f for w in parts for f in ([w, *w, *(w[i : i + 2] for i in range(len(w) - 1))] if w[0] > "\u3000" else [w])]
+
+
 def camel_split(text: Column) -> Column:
     """A blank between a lower-case letter or digit and an upper-case letter."""
     return F.regexp_replace(text, "([a-z0-9])(?=[A-Z])", "$1 ")
@@ -38,7 +54,7 @@ def with_bigrams(words: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.when(w.rlike(CJK), bigrams(w)).otherwise(F.array().cast("array<string>")))))
 
 
-def query_terms(text: Column, limit: int = 32, stop_words: bool = True, camel: bool = True) -> Column:
+def query_terms(text: Column, limit: int | None = 32, stop_words: bool = True, camel: bool = True) -> Column:
     """Distinct terms of a query in first-seen order: raw tokens, tokens of the split text, pairs of Chinese runs."""
     words = tokens(text)
     if camel:
@@ -46,7 +62,8 @@ def query_terms(text: Column, limit: int = 32, stop_words: bool = True, camel: b
     words = F.transform(words, casefold)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-    return F.slice(F.array_distinct(with_bigrams(words)), 1, limit)
+    terms = F.array_distinct(with_bigrams(words))
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
 def features(text: Column) -> Column:

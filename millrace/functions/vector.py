@@ -61,11 +61,7 @@ def feature_hash(df: DataFrame, key: str, words: Column, dimensions: int = 256)
     return df.select(key, words.alias("words")).mapInPandas(embed, f"{key} {kind}, embedding array<double>")
 
 
-def md5_bucket(word: Column, dimensions: int) -> Column:
-    """A feature's place by the first digits of its MD5; native, for plans that must stay in the JVM."""
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint"), F.lit(dimensions)).cast("int")
-
-
-def md5_sign(word: Column) -> Column:
-    """A feature's sign by the eighth digit of its MD5."""
-    return F.when(F.pmod(F.conv(F.substring(F.md5(word), 8, 1), 16, 10).cast("bigint"), F.lit(2)) == 1, F.lit(1.0).cast("double")).otherwise(F.lit(-1.0).cast("double"))
+def place_and_sign(word: str, dimensions: int) -> tuple[int, int]:
+    """A feature's place by the first digits of its MD5 and its sign by the eighth."""
+    digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+    return int(digest[:7], 16) % dimensions, 1 if int(digest[7], 16) % 2 else -1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,37 +13,83 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..runtime import materialise
 
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
-    """(key, term, f, length): the weighted frequency of each term in each row and the row's token count over all fields."""
-    arrays = F.array(*(F.struct(F.lit(w).cast("double").alias("w"), T.with_bigrams(F.transform(T.tokens(F.coalesce(c, F.lit(""))), T.casefold)).alias("t")) for c, w in fields.values()))
-    rows = chunks.select(F.col(key), arrays.alias("fields"))
-    rows = rows.withColumn("length", F.aggregate("fields", F.lit(0), lambda s, x: s + F.size(x["t"])))
-    each = rows.select(key, "length", F.explode("fields").alias("x")).select(key, "length", F.col("x.w").alias("w"), F.explode("x.t").alias("term"))
-    return each.groupBy(key, "term", "length").agg(F.sum("w").alias("f"))
+#: Up to so many distinct terms of a query set go to every task; beyond, rows meet them by a join.
+SENT_TERMS = 200_000
 
 
-def corpus_statistics(posted: DataFrame, chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(one row of n and avgdl over all rows, df per term)."""
-    sizes = posted.groupBy(key).agg(F.first("length").alias("length"))
-    totals = chunks.agg(F.count("*").alias("n")).crossJoin(sizes.agg(F.sum("length").alias("total")))
-    return totals.select("n", (F.col("total") / F.col("n")).alias("avgdl")), posted.groupBy("term").agg(F.count("*").alias("df"))
+def postings(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], only: frozenset[str] | None = None, group: str | None = None) -> DataFrame:
+    """(key, term, f, length): the weighted frequency of each term in each row and the row's token count over all fields.
 
-
-def bm25(posted: DataFrame, chunks: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    Counted within the row, in Arrow batches, without a shuffle. Each row also has an entry with a null term, so
+    that totals over all rows come from the same pass. With ``only`` other terms are left out. A column ``group`` is
+    kept.
+    """
+    weights = [w for _, w in fields.values()]
+    kept = [key, group] if group else [key]
+    share = chunks.sparkSession.sparkContext.broadcast(only)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, seen = share.value, {}
+        for pdf in batches:
+            at, terms, fs, lengths = [], [], [], []
+            columns = [pdf[f"text{k}"].tolist() for k in range(len(weights))]
+            for row in range(len(pdf)):
+                length, found = 0, {}
+                for weight, texts in zip(weights, columns):
+                    for word, n in Counter(T.TOKENS.findall(texts[row])).items():
+                        got = seen.get(word)
+                        if got is None:
+                            if len(seen) > 500_000:
+                                seen.clear()
+                            got = T.word_terms(word.lower())
+                            got = seen[word] = (len(got), got if wanted is None else [t for t in got if t in wanted])
+                        length += n * got[0]
+                        for t in got[1]:
+                            found[t] = found.get(t, 0.0) + n * weight
+                terms.append(None)
+                fs.append(0.0)
+                terms += found
+                fs += found.values()
+                at += [row] * (len(found) + 1)
+                lengths.append(length)
+            at = np.array(at, dtype=np.int64)
+            yield pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in kept}, "term": terms, "f": fs, "length": np.array(lengths, dtype=np.int64)[at]})
+
+    texts = [F.coalesce(c, F.lit("")).alias(f"text{k}") for k, (c, _) in enumerate(fields.values())]
+    return chunks.select(*kept, *texts).mapInPandas(count, f"{_kinds(chunks, *kept)}, term string, f double, length bigint")
+
+
+def _kinds(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def bm25(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: DataFrame, query_key: str, group: str | None = None) -> DataFrame:
     """(query key, key, score): BM25 with weighted term frequencies, rounded to 6 digits; rows without a common term are left out.
 
-    The two totals are one row, the only thing that is sent to every task.
+    ``terms`` has (query key, term), and ``group`` if only rows of the query's group are searched. Rows keep only terms of the queries: in the pass that counts them if the
+    terms are few enough to be sent to every task (SENT_TERMS), by a join otherwise.
     """
-    terms = queries.select(query_key, F.explode(T.query_terms(F.col(query_text))).alias("term"))
-    totals, df = corpus_statistics(posted, chunks, key)
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighted = posted.join(df, "term").crossJoin(F.broadcast(totals))
-    part = weighted.select(key, "term", (idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))).alias("part"))
-    return part.join(terms, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    wanted = [r.term for r in terms.select("term").distinct().limit(SENT_TERMS + 1).collect()]
+    few = len(wanted) <= SENT_TERMS
+    posted = postings(chunks, key, fields, frozenset(wanted) if few else None, group)
+    if not few:
+        posted = materialise(posted)
+        posted = posted.join(terms.select("term").distinct(), "term", "left_semi").unionByName(posted.where("term is null"))
+    posted = materialise(posted)
+    total = posted.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    n, avgdl = total.n, total.length / max(1, total.n)
+    held = posted.where("term is not null")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    on = ["term", group] if group else ["term"]
+    asked = terms.join(df, "term").select(query_key, *on, idf.alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl or 1.0)))
+    return held.join(F.broadcast(asked) if few else asked, on).groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, query_key: str, key: str, pool: int) -> DataFrame:
@@ -50,78 +98,165 @@ def ranked(scores: DataFrame, query_key: str, key: str, pool: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
 
 
-def sparse_vectors(df: DataFrame, key: str, text: Column, dimensions: int) -> DataFrame:
-    """(key, dim, x): hashed features of a text in the JVM, scaled to length 1; the form in which batches of queries are joined."""
-    each = df.select(F.col(key), F.explode(T.features(F.coalesce(text, F.lit("")))).alias("w"))
-    # One digest for each distinct word of a row.
-    words = each.groupBy(key, "w").agg(F.count("*").alias("n"))
-    sums = words.groupBy(key, V.md5_bucket(F.col("w"), dimensions).alias("dim")).agg(F.sum(V.md5_sign(F.col("w")) * F.col("n")).alias("v")).where("v <> 0")
-    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return sums.select(key, "dim", (F.col("v") / length).alias("x"))
+def hashed_vectors(df: DataFrame, key: str, text: Column, dimensions: int, group: str | None = None) -> DataFrame:
+    """(key, the group if there is one, vec): the hashed features of a text scaled to length 1, in Arrow batches within the row; rows whose features cancel out are left out."""
+    kept = [key, group] if group else [key]
+
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, list[tuple[int, int]]] = {}
+        for pdf in batches:
+            m = np.zeros((len(pdf), dimensions))
+            for row, x in zip(m, pdf["text"]):
+                sums: dict[int, int] = {}
+                for word, n in Counter(T.TOKENS.findall(x)).items():
+                    got = seen.get(word)
+                    if got is None:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        got = seen[word] = [V.place_and_sign(w, dimensions) for w in T.word_features(word)]
+                    for at, sign in got:
+                        sums[at] = sums.get(at, 0) + sign * n
+                row[list(sums)] = list(sums.values())
+            length = np.sqrt((m * m).sum(axis=1))
+            good = length > 0
+            yield pd.DataFrame({**{c: pdf[c].to_numpy()[good] for c in kept}, "vec": list(m[good] / length[good, None])})
 
+    return df.select(*kept, F.coalesce(text, F.lit("")).alias("text")).mapInPandas(embed, f"{_kinds(df, *kept)}, vec array<double>")
 
-def dense_vectors(sparse: DataFrame, key: str, dimensions: int) -> DataFrame:
-    """(key, vec): the sparse form gathered into one array for each row."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("dim", "x")))
-    spread = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0).cast("double")))
-    return sparse.groupBy(key).agg(pairs.alias("m")).select(key, spread.alias("vec"))
 
+Scores = Iterator[tuple[np.ndarray, np.ndarray]]
 
-def dense_map(queries: DataFrame, query_key: str, rows: DataFrame, key: str, schema: str, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], block: int = 8192) -> DataFrame:
-    """Every query against all rows as products of matrices: reduce(query ids, row ids, scores rounded to 6 digits) for each batch of rows.
+
+def dense_map(queries: DataFrame, query_key: str, rows: DataFrame, key: str, schema: str, fold: Callable[[np.ndarray, Scores], Iterator[pd.DataFrame]], group: str | None = None, block: int = 8192) -> DataFrame:
+    """Every query against all rows as products of matrices: each task calls fold(query ids, pairs of row ids and scores rounded to 6 digits).
 
     The query set goes to the tasks in blocks of fixed size, one pass over the rows for each block, so what
-    is sent at once is bounded however many queries there are.
+    is sent at once is bounded however many queries there are. Rows are written once if there are more blocks.
+    With ``group`` pairs of different groups have the score -1.
     """
-    out, held = None, []
+    spark = rows.sparkSession
+    columns = [key, "vec", group] if group else [key, "vec"]
 
     def run(held: list) -> DataFrame:
-        ids = np.array([r[0] for r in held])
-        matrix = np.array([r[1] for r in held], dtype=np.float64)
-        share = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+        share = spark.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=np.float64), np.array([r[2] for r in held]) if group else None))
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix, groups = share.value
+
+            def scores() -> Scores:
+                for pdf in batches:
+                    for s in range(0, len(pdf), 2000):
+                        part = pdf.iloc[s : s + 2000]
+                        dots = np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ matrix.T, 6)
+                        if group:
+                            dots[part[group].to_numpy()[:, None] != groups] = -1
+                        yield part[key].to_numpy(), dots
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = share.value
-            for pdf in batches:
-                for s in range(0, len(pdf), 2000):
-                    part = pdf.iloc[s : s + 2000]
-                    yield reduce(ids, part[key].to_numpy(), np.round(np.array(part["vec"].tolist(), dtype=np.float64) @ matrix.T, 6))
+            yield from fold(ids, scores())
 
-        return rows.select(key, "vec").mapInPandas(score, schema)
+        return rows.select(*columns).mapInPandas(task, schema)
 
-    for r in queries.select(query_key, "vec").toLocalIterator():
-        held.append((r[0], r[1]))
+    out, held, written = spark.createDataFrame([], schema), [], False
+    for r in queries.select(query_key, *columns[1:]).toLocalIterator():
         if len(held) == block:
-            out, held = (run(held) if out is None else out.unionByName(run(held))), []
-    if held or out is None:
-        empty = rows.sparkSession.createDataFrame([], schema)
-        out = (run(held) if held else empty) if out is None else out.unionByName(run(held)) if held else out
-    return out
+            if not written:
+                rows, written = materialise(rows), True
+            out, held = out.unionByName(run(held)), []
+        held.append(tuple(r))
+    return out.unionByName(run(held)) if held else out
 
 
-def dense_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str, pool: int) -> DataFrame:
-    """(query key, key, score, rank): the best ``pool`` rows of each query by cosine of unit vectors, positive ones only, equal scores by key."""
+def dense_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str, pool: int, group: str | None = None) -> DataFrame:
+    """(query key, key, score, rank): the best ``pool`` rows of each query by cosine of unit vectors, positive ones only, equal scores by key.
+
+    A task carries the best rows of each query through all its rows and gives ``pool`` of each at the end.
+    """
     kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
 
-    def best(ids: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
-        by_key = np.argsort(keys, kind="stable")
-        keys, scores = keys[by_key], scores[by_key]
-        # The least score that is among the best of this batch, then all rows that reach it.
-        n = min(pool, len(keys))
-        bar = np.partition(scores, len(keys) - n, axis=0)[len(keys) - n]
-        i, q = np.nonzero((scores >= bar) & (scores > 0))
-        return pd.DataFrame({query_key: ids[q], key: keys[i], "score": scores[i, q]})
+    def best(ids: np.ndarray, scores: Scores) -> Iterator[pd.DataFrame]:
+        bar = np.zeros(len(ids))
+        q, k, x, held = [], [], [], 0
+
+        def prune() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            qs, ks, xs = np.concatenate(q), np.concatenate(k), np.concatenate(x)
+            order = np.lexsort((ks, -xs, qs))
+            qs, ks, xs = qs[order], ks[order], xs[order]
+            place = np.arange(len(qs)) - np.searchsorted(qs, qs)
+            last = place == pool - 1
+            bar[qs[last]] = xs[last]
+            keep = place < pool
+            return qs[keep], ks[keep], xs[keep]
+
+        for keys, part in scores:
+            i, j = np.nonzero((part >= bar) & (part > 0))
+            q.append(j), k.append(keys[i]), x.append(part[i, j])
+            held += len(j)
+            if held > 4 * pool * len(ids):
+                qs, ks, xs = prune()
+                q, k, x, held = [qs], [ks], [xs], len(qs)
+        if held:
+            qs, ks, xs = prune()
+            yield pd.DataFrame({query_key: ids[qs], key: ks, "score": xs})
+
+    return ranked(dense_map(queries, query_key, rows, key, kinds, best, group), query_key, key, pool)
+
+
+def sign_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str, pool: int, candidates: int) -> DataFrame:
+    """As dense_ranked, approximately: the ``candidates`` rows whose signs agree most with the query's are ranked by their cosine.
+
+    Signs take a byte for each number, and only candidates are looked up again.
+    """
+    signs = lambda df, k: df.select(k, F.transform("vec", F.signum).alias("vec"))
+    near = dense_ranked(signs(queries, query_key), query_key, signs(rows, key), key, candidates).select(query_key, key)
+    both = near.join(queries.select(query_key, F.col("vec").alias("qv")), query_key).join(rows.select(key, "vec"), key)
+    return ranked(both.select(query_key, key, F.round(V.dot(F.col("qv"), F.col("vec")), 6).alias("score")).where("score > 0"), query_key, key, pool)
+
+
+def dense_pairs(queries: DataFrame, query_key: str, rows: DataFrame, key: str) -> DataFrame:
+    """(query key, key, score): the cosine of every query with every row, for few queries whose whole product is wanted."""
+
+    def every(ids: np.ndarray, scores: Scores) -> Iterator[pd.DataFrame]:
+        for keys, part in scores:
+            yield pd.DataFrame({query_key: np.tile(ids, len(keys)), key: np.repeat(keys, len(ids)), "score": part.ravel()})
 
-    return ranked(dense_map(queries, query_key, rows, key, kinds, best), query_key, key, pool)
+    return dense_map(queries, query_key, rows, key, f"{_kinds(queries, query_key)}, {_kinds(rows, key)}, score double", every)
 
 
 def dense_positive(queries: DataFrame, query_key: str, rows: DataFrame, key: str) -> DataFrame:
     """(query key, positive): how many rows have a positive cosine to each query that has any."""
     kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, n bigint"
-    count = lambda ids, keys, scores: pd.DataFrame({query_key: ids, "n": (scores > 0).sum(axis=0)})
+
+    def count(ids: np.ndarray, scores: Scores) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({query_key: ids, "n": sum(((part > 0).sum(axis=0) for _, part in scores), np.zeros(len(ids), dtype=np.int64))})
+
     return dense_map(queries, query_key, rows, key, kinds, count).groupBy(query_key).agg(F.sum("n").alias("positive")).where("positive > 0")
 
 
+def runs_held(docs: DataFrame, key: str, text: Column, runs: DataFrame, width: int) -> DataFrame:
+    """(key, the other columns of ``runs``), distinct: which rows hold which run of ``width`` consecutive lower-case ASCII words.
+
+    ``runs`` has a column run, words joined by blanks. Few runs (SENT_TERMS) go to every task, which then gives
+    only those it meets; more are joined.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    wanted = [r.run for r in runs.select("run").distinct().limit(SENT_TERMS + 1).collect()]
+    share = docs.sparkSession.sparkContext.broadcast(frozenset(wanted) if len(wanted) <= SENT_TERMS else None)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = share.value
+        starts = None if only is None else {x.split(" ", 1)[0] for x in only}
+        for pdf in batches:
+            rows = []
+            for i, x in zip(pdf[key], pdf["text"]):
+                words = re.findall("[a-z0-9]+", x.lower())
+                met = {" ".join(words[s : s + width]) for s in range(len(words) - width + 1) if starts is None or words[s] in starts}
+                rows += [(i, r) for r in met if only is None or r in only]
+            yield pd.DataFrame(rows, columns=[key, "run"])
+
+    met = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).mapInPandas(find, f"{key} {kind}, run string")
+    return met.join(runs, "run").drop("run").distinct()
+
+
 def fuse(lexical: DataFrame, dense: DataFrame, query_key: str, key: str, top_k: int, k: int = 60, lexical_weight: float = 1.0, dense_weight: float = 1.0) -> DataFrame:
     """Reciprocal-rank fusion: (query key, key, lexical_rank, dense_rank, score, rank); a rank is null where the other ranker found the row."""
     lex = lexical.select(query_key, key, F.col("rank").alias("lexical_rank"))
@@ -142,13 +277,31 @@ def retrieval_metrics(ranking: DataFrame, qrels: DataFrame, query_key: str, key:
     return out.select(query_key, "relevant", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(F.col("hits") / F.col("relevant"), zero).alias("recall"), F.coalesce(1 / F.col("first"), zero).alias("reciprocal_rank"), F.when(F.col("hits") > 0, 1).otherwise(0).alias("hit"), F.coalesce(F.col("dcg") / ideal, zero).alias("ndcg"))
 
 
+def running_counts(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """``counts`` (the groups, value, count) with ``upto``, the rows of the group up to that value, and ``n``, all its rows.
+
+    Sorted by range; each partition adds up its counts, and the sums of the partitions before are added as
+    offsets, so no group needs a task of its own.
+    """
+    ordered = materialise(counts.repartitionByRange(*by, value).sortWithinPartitions(*by, value).withColumn("part", F.spark_partition_id()))
+    # One row for each group and partition that holds it.
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    sums = ordered.groupBy(*by, "part").agg(F.sum("count").alias("s"))
+    offsets = sums.select(*by, "part", (F.sum("s").over(whole.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("n"))
+    within = F.sum("count").over(Window.partitionBy("part", *by).orderBy(value))
+    # Null groups are groups too.
+    same = F.lit(True)
+    for c in ("part", *by):
+        same &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    both = ordered.withColumn("within", within).alias("l").join(offsets.alias("r"), same)
+    return both.select(*(F.col(f"l.{c}") for c in by), F.col(f"l.{value}"), F.col("l.count"), (F.col("r.before") + F.col("l.within")).alias("upto"), F.col("r.n"))
+
+
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
     """Percentiles by nearest rank, the element at ``round_half_even((n - 1) * p)`` in order, for each group; nulls are left out.
 
     Ranks come from the counts of distinct values, so a group's rows are summed before they are sorted.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = counts.withColumn("upto", F.sum("count").over(w.orderBy(value))).withColumn("n", F.sum("count").over(w))
     pick = lambda p: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(p).cast("double")), F.col(value)))
-    return upto.groupBy(*by).agg(*(pick(p).alias(name) for name, p in shares.items()), F.max("n").alias("samples"))
+    return running_counts(counts, value, *by).groupBy(*by).agg(*(pick(p).alias(name) for name, p in shares.items()), F.max("n").alias("samples"))
