@@ -14,13 +14,16 @@ from ..runtime import read_table
 from .registry import query
 
 
-@query(r"""with recursive x as (select doc_id, case when text like '%' || chr(10) then left(text, len(text) - 1) else text end as body, text from documents where text is not null and text <> ''),
+_LINES_SQL = r"""with recursive x as (select {key} as doc_id, case when {text} like '%' || chr(10) then left({text}, len({text}) - 1) else {text} end as body, {text} as text from {table} where {text} is not null and {text} <> ''),
   l as (select doc_id, text, string_split(body, chr(10)) as ls from x),
   p as (select doc_id, text, ls, len(ls) as n, list_transform(range(0, len(ls) + 1), lambda i: coalesce(list_sum(list_transform(ls[1:i], lambda s: len(s) + 1)), 0) - case when i = len(ls) and text not like '%' || chr(10) then 1 else 0 end) as cum from l),
   c(doc_id, b, e) as (select doc_id, 0::bigint, greatest(1, len(list_filter(cum, lambda v: v <= 4000)) - 1) from p
     union all select c.doc_id, greatest(c.b + 1, c.e - 3), greatest(greatest(c.b + 1, c.e - 3) + 1, len(list_filter(p.cum, lambda v: v <= p.cum[greatest(c.b + 1, c.e - 3) + 1] + 4000)) - 1) from c join p on p.doc_id = c.doc_id where c.e < p.n)
-  select doc_id, start_line, end_line, sha256(content) as content_hash from (
-    select c.doc_id, (c.b + 1)::int as start_line, c.e::int as end_line, trim(array_to_string(p.ls[c.b + 1:c.e], chr(10)), ' ' || chr(9) || chr(10) || chr(13)) as content from c join p on p.doc_id = c.doc_id) where content <> ''""")
+  select doc_id as {key}, start_line, end_line, sha256(content) as content_hash from (
+    select c.doc_id, (c.b + 1)::int as start_line, c.e::int as end_line, trim(array_to_string(p.ls[c.b + 1:c.e], chr(10)), ' ' || chr(9) || chr(10) || chr(13)) as content from c join p on p.doc_id = c.doc_id) where content <> ''"""
+
+
+@query(_LINES_SQL.format(table="documents", key="doc_id", text="text"))
 def d02_chunk_lines(spark: SparkSession, base: str) -> DataFrame:
     """Documents in chunks of at most 4,000 characters of whole lines with an overlap of three lines."""
     chunks = chunking.chunk_lines(read_table(spark, base, "documents"), ["doc_id"], "text")
@@ -40,10 +43,11 @@ def d04_chunk_markdown(spark: SparkSession, base: str) -> DataFrame:
     return chunking.chunk_files(docs, ["doc_id"], text="text").where("kind = 'markdown_section'").select("doc_id", "start_line", "end_line", "heading_path", "content_hash")
 
 
-@query("select language, kind, count(*)::bigint as files, max(length(content))::bigint as longest from chunk_drafts where length(trim(content)) > 0 group by 1, 2")
-def d05_chunk_inputs(spark: SparkSession, base: str) -> DataFrame:
-    """What the chunker is handed, by language and kind."""
-    return read_table(spark, base, "chunk_drafts").where(F.length(F.trim("content")) > 0).groupBy("language", "kind").agg(F.count("*").alias("files"), F.max(F.length("content")).cast("bigint").alias("longest"))
+@query(_LINES_SQL.format(table="(select * from chunk_drafts where kind = 'text')", key="draft_id", text="content"))
+def d05_chunk_text(spark: SparkSession, base: str) -> DataFrame:
+    """Drafts that are plain text, in chunks of whole lines."""
+    chunks = chunking.chunk_lines(read_table(spark, base, "chunk_drafts").where("kind = 'text'"), ["draft_id"], "content")
+    return chunks.select("draft_id", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
 
 
 @query()

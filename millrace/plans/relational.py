@@ -33,10 +33,10 @@ def ext_orders_cube(spark: SparkSession, base: str) -> DataFrame:
     return j.cube("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("orders"))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
 def ext_no_orders(spark: SparkSession, base: str) -> DataFrame:
-    """Customers without an order."""
-    return read_table(spark, base, "customer").join(read_table(spark, base, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    return read_table(spark, base, "customer").join(read_table(spark, base, "orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("select o_orderkey, o_custkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as last_three from orders")

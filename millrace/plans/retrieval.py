@@ -79,10 +79,13 @@ FUSED_SQL = f"""{BM25_SQL}, {DENSE_SQL},
   fr as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from fu) where rank <= {TOP})
 """
 
-QRELS_SQL = """
-  nq as (select item_id, regexp_extract_all(lower(query), '[a-z0-9]+') as w from eval_cases),
-  nd as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as t from documents),
-  qr as (select distinct item_id, doc_id from nq join nd on contains(t, ' ' || array_to_string(w[9:20], ' ') || ' ') where len(w) >= 20)
+RUN = 12
+QRELS_SQL = f"""
+  qw as (select item_id, regexp_extract_all(lower(query), '[a-z0-9]+') as w from eval_cases),
+  dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
+  qg as (select item_id, array_to_string(w[s:s + {RUN - 1}], ' ') as run from (select item_id, w, unnest(range(1, len(w) - {RUN - 2})) as s from qw)),
+  dg as (select doc_id, array_to_string(w[s:s + {RUN - 1}], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - {RUN - 2})) as s from dw)),
+  qr as (select distinct item_id, doc_id from qg join dg using (run))
 """
 
 
@@ -94,20 +97,33 @@ def _queries(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "eval_cases")
 
 
+FIELDS = {"text": 1.0, "path": 0.3}
+
+
+def _chunks(spark: SparkSession, base: str) -> DataFrame:
+    return spread(_documents(spark, base).select("doc_id", *FIELDS))
+
+
 def _posted(spark: SparkSession, base: str) -> DataFrame:
-    docs = spread(_documents(spark, base).select("doc_id", "text", "path"))
-    return R.postings(docs, "doc_id", {"text": (F.col("text"), 1.0), "path": (F.col("path"), 0.3)})
+    return R.postings(_chunks(spark, base), "doc_id", _fields()).where("term is not null")
+
+
+def _fields() -> dict:
+    return {c: (F.col(c), w) for c, w in FIELDS.items()}
+
+
+def _terms(spark: SparkSession, base: str) -> DataFrame:
+    return _queries(spark, base).select("item_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
 
 
 def lexical(spark: SparkSession, base: str) -> DataFrame:
     """The BM25 rank list of every query."""
-    posted = materialise(_posted(spark, base))
-    return R.ranked(R.bm25(posted, _documents(spark, base), "doc_id", _queries(spark, base), "item_id", "query"), "item_id", "doc_id", POOL)
+    return R.ranked(R.bm25(_chunks(spark, base), "doc_id", _fields(), _terms(spark, base), "item_id"), "item_id", "doc_id", POOL)
 
 
 def _dense(spark: SparkSession, base: str, query_key: str, key: str) -> tuple[DataFrame, str, DataFrame, str]:
-    q = R.dense_vectors(R.sparse_vectors(_queries(spark, base), query_key, F.col("query"), DIM), query_key, DIM)
-    d = R.dense_vectors(R.sparse_vectors(spread(_documents(spark, base).select(key, "text")), key, F.col("text"), DIM), key, DIM)
+    q = R.hashed_vectors(_queries(spark, base), query_key, F.col("query"), DIM)
+    d = R.hashed_vectors(spread(_documents(spark, base).select(key, "text")), key, F.col("text"), DIM)
     return q, query_key, d, key
 
 
@@ -122,12 +138,11 @@ def fused(spark: SparkSession, base: str, top: int = TOP) -> DataFrame:
 
 
 def qrels(spark: SparkSession, base: str) -> DataFrame:
-    """(item_id, doc_id): documents that hold words 9 to 20 of a query in a row; found by a join on the run of words."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    q = _queries(spark, base).select("item_id", words(F.col("query")).alias("w")).where("size(w) >= 20").select("item_id", F.array_join(F.slice("w", 9, 12), " ").alias("run"))
-    d = spread(_documents(spark, base).select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("w")).where("size(w) >= 12")
-    runs = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 11), lambda i: F.array_join(F.slice("w", i, F.lit(12)), " "))).alias("run"))
-    return runs.join(q, "run").select("item_id", "doc_id").distinct()
+    """(item_id, doc_id): documents that hold 12 consecutive words of a query."""
+    words = F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0))
+    q = _queries(spark, base).select("item_id", words.alias("w")).where(F.size("w") >= RUN)
+    runs = q.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), lambda i: F.array_join(F.slice("w", i, F.lit(RUN)), " "))).alias("run")).distinct()
+    return R.runs_held(spread(_documents(spark, base).select("doc_id", "text")), "doc_id", F.col("text"), runs, RUN).select("item_id", "doc_id")
 
 
 @query(f"with {POSTINGS_SQL} select dfs.term, df::bigint as df, round(sum(f), 6) as weight from dfs join po using (term) group by dfs.term, df")
@@ -139,13 +154,13 @@ def a03_corpus_statistics(spark: SparkSession, base: str) -> DataFrame:
 @query(f"with {TERMS_SQL} select item_id, term from qt")
 def f03_query_terms(spark: SparkSession, base: str) -> DataFrame:
     """The terms of every query."""
-    return _queries(spark, base).select("item_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    return _terms(spark, base)
 
 
 @query(f"with {TERMS_SQL}, {POSTINGS_SQL} select item_id, count(*)::bigint as matches from qt join po using (term) group by item_id")
 def j17_terms_to_postings(spark: SparkSession, base: str) -> DataFrame:
     """Postings met by the terms of every query."""
-    terms = _queries(spark, base).select("item_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    terms = _terms(spark, base)
     return _posted(spark, base).join(terms, "term").groupBy("item_id").agg(F.count("*").alias("matches"))
 
 
@@ -218,11 +233,21 @@ def a05_recall_mrr(spark: SparkSession, base: str) -> DataFrame:
     return _metrics(spark, base).agg(F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
-@query(f"with {_METRICS_SQL} select suite, count(*)::bigint as cases, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as mrr, round(avg(hit), 6) as hit_rate, round(avg(ndcg), 6) as ndcg from per join eval_cases using (item_id) group by grouping sets ((suite), ())")
+_FUSED10_SQL = FUSED_SQL.replace(f"where rank <= {TOP})", "where rank <= 10)")
+_AT_SQL = """
+  select {k} as k, item_id, coalesce(hits, 0) / relevant as recall, coalesce(1 / first, 0) as reciprocal_rank, case when hits > 0 then 1 else 0 end as hit,
+         coalesce(dcg / list_sum(list_transform(range(1, least(relevant, {k}) + 1), lambda r: 1 / log2(r + 1))), 0) as ndcg
+  from tot2 left join (select fr.item_id, count(*) as hits, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from fr join qr on fr.item_id = qr.item_id and fr.doc_id = qr.doc_id where rank <= {k} group by fr.item_id) using (item_id)"""
+
+
+@query(f"""with {_FUSED10_SQL}, {QRELS_SQL}, tot2 as (select item_id, count(*) as relevant from qr group by item_id), per as ({_AT_SQL.format(k=5)} union all {_AT_SQL.format(k=10)})
+  select k, suite, count(*)::bigint as cases, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as mrr, round(avg(hit), 6) as hit_rate, round(avg(ndcg), 6) as ndcg from per join eval_cases using (item_id) group by grouping sets ((k, suite), (k))""")
 def a06_metrics_by_suite(spark: SparkSession, base: str) -> DataFrame:
-    """Metrics for each suite and over all, by grouping sets."""
-    per = _metrics(spark, base).join(_queries(spark, base).select("item_id", "suite"), "item_id")
-    return per.rollup("suite").agg(F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+    """Metrics at 5 and at 10 for each suite and over all, by grouping sets over one ranking."""
+    ranking, rel = materialise(fused(spark, base, 10)), materialise(qrels(spark, base))
+    at = lambda k: R.retrieval_metrics(ranking, rel, "item_id", "doc_id", k).withColumn("k", F.lit(k))
+    per = at(5).unionByName(at(10)).join(_queries(spark, base).select("item_id", "suite"), "item_id")
+    return per.groupingSets([["k", "suite"], ["k"]], "k", "suite").agg(F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
 
 
 @query(f"with {FUSED_SQL}, {QRELS_SQL} select fr.item_id, min(rank)::int as first_rank from fr join qr on fr.item_id = qr.item_id and fr.doc_id = qr.doc_id group by fr.item_id")
@@ -240,17 +265,33 @@ def a10_list_recall(spark: SparkSession, base: str) -> DataFrame:
     return exact.join(other, "item_id", "left").agg(F.round(F.avg(share), 6).alias("mean_overlap"))
 
 
+@query(f"""with {DENSE_SQL}, sg as (select item_id, doc_id, sum(sign(qv.x) * sign(dv.x)) as agree from qv join dv using (dim) group by item_id, doc_id),
+  cand as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by agree desc, doc_id) as r from sg where agree > 0) where r <= 100),
+  ap as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rank from cand join ds using (item_id, doc_id) where score > 0) where rank <= {POOL}),
+  e as (select item_id, list(doc_id) as x from den group by item_id), l as (select item_id, list(doc_id) as y from ap group by item_id)
+  select round(avg(len(list_intersect(x, coalesce(y, []))) / len(x)), 6) as ann_recall from e left join l using (item_id)""")
+def a10_ann_recall(spark: SparkSession, base: str) -> DataFrame:
+    """The mean share of the exact cosine list that an approximate search finds: by agreement of signs, then the best 100 exactly."""
+    q, query_key, d, key = _dense(spark, base, "item_id", "doc_id")
+    q, d = materialise(q), materialise(d)
+    exact = R.dense_ranked(q, query_key, d, key, POOL).groupBy("item_id").agg(F.collect_set("doc_id").alias("x"))
+    near = R.sign_ranked(q, query_key, d, key, POOL, 100).groupBy("item_id").agg(F.collect_set("doc_id").alias("y"))
+    share = F.size(F.array_intersect("x", F.coalesce("y", F.array().cast("array<bigint>")))) / F.size("x")
+    return exact.join(near, "item_id", "left").agg(F.round(F.avg(share), 6).alias("ann_recall"))
+
+
 _SIM = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
 
 @query("with v as (select vec_id, label, embedding::double[] as e from embeddings), c as (select label, list(x order by k) as centre from (select label, k, avg(e[k]) as x from (select label, e, unnest(range(1, len(e) + 1)) as k from v) group by label, k) group by label)"
        f" select vec_id, c.label, round({_SIM.format(a='e', b='centre')}, 6) as cosine from v cross join c")
 def j16_vectors_to_centres(spark: SparkSession, base: str) -> DataFrame:
-    """Every vector against the few mean vectors of the labels; the small side is checked before it is sent around."""
+    """Every vector against the mean vectors of the labels, which go to the tasks in blocks however many they are."""
     v = read_table(spark, base, "embeddings")
     each = v.select("label", F.posexplode("embedding").alias("k", "x"))
     centres = each.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
-    return v.select("vec_id", "embedding").crossJoin(centres).select("vec_id", "label", F.round(V.cosine(F.col("embedding"), F.col("centre")), 6).alias("cosine"))
+    units = lambda df, key, c: df.select(key, V.unit(F.col(c)).alias("vec"))
+    return R.dense_pairs(units(centres, "label", "centre"), "label", units(v, "vec_id", "embedding"), "vec_id").select("vec_id", "label", F.col("score").alias("cosine"))
 
 
 @query(f"with v as (select chunk_id, embedding::double[] as e, len(embedding) as dims from rag_chunks where embedding is not null) select chunk_id, dims::int as dims, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) as norm, round(coalesce(list_sum(list_transform(e, lambda x: x * x)), 0), 6) as square from v")
@@ -288,4 +329,5 @@ def f32_feature_hash(spark: SparkSession, base: str) -> DataFrame:
 @query(_vectors_sql("documents", "doc_id", "text").replace("as x from", "as x0 from").replace("select doc_id, dim, v", "select doc_id, dim, round(v", 1).replace("(partition by doc_id)) as x0", "(partition by doc_id)), 6) as x", 1))
 def f34_unit_vectors(spark: SparkSession, base: str) -> DataFrame:
     """Hashed features scaled to length 1, in the sparse form."""
-    return R.sparse_vectors(_documents(spark, base), "doc_id", F.col("text"), DIM).withColumn("x", F.round("x", 6))
+    each = R.hashed_vectors(spread(_documents(spark, base).select("doc_id", "text")), "doc_id", F.col("text"), DIM).select("doc_id", F.posexplode("vec").alias("dim", "x"))
+    return each.where("x <> 0").withColumn("x", F.round("x", 6))

@@ -102,11 +102,24 @@ def f15_contains_any(spark: SparkSession, base: str) -> DataFrame:
     return _documents(spark, base).select("doc_id", F.exists(phrases, lambda p: F.contains(n, p)).alias("has_phrase"), F.contains(F.replace(n, F.lit(" "), F.lit("")), F.lit("rootcause")).alias("has_joined"))
 
 
-@query("select doc_id, case when regexp_matches(text, '(?i)timed? ?out') then 'timeout' when regexp_matches(text, '(?i)modulenotfounderror|importerror|no module named') then 'environment' when regexp_matches(text, '(?i)syntaxerror|collecting') then 'collection' when regexp_matches(text, '(?i)assert|failed') then 'assertion' when regexp_matches(text, '(?i)passed') then 'passed' else 'unknown' end as category from documents")
+# What a log says of the kind of a failure, in the order in which the kinds are tried.
+LOG_RULES = {
+    "environment_failure": ["ModuleNotFoundError", "No module named", "PermissionError", "permission denied", "connection refused", "could not connect", "No such file or directory", "is not recognized as an internal or external command"],
+    "collection_failure": ["ERROR collecting", r"Interrupted: \d+ error during collection", "ImportError while importing test module", "SyntaxError", "fixture .+ not found"],
+    "assertion_failure": ["AssertionError", r"E\s+assert\s", "FAILED .+::", "DID NOT RAISE"],
+}
+_TIMED_OUT, _PASSED, _FAILED = "tim(ed|e) ?out", r"\d+ passed|passed in", r"\d+ (failed|errors?)\b"
+_CASCADE_SQL = " ".join(f"when regexp_matches(text, '(?i){'|'.join(p)}') then '{k}'" for k, p in LOG_RULES.items())
+
+
+@query(f"select doc_id, case when regexp_matches(text, '(?i){_TIMED_OUT}') then 'tool_failure' when regexp_matches(text, '(?i){_PASSED}') and not regexp_matches(text, '(?i){_FAILED}') then 'passed' {_CASCADE_SQL} else 'unknown_failure' end as category from documents")
 def f18_log_cascade(spark: SparkSession, base: str) -> DataFrame:
-    """Documents by the first rule of a cascade that matches."""
-    is_like = lambda p: F.col("text").rlike("(?i)" + p)
-    rule = F.when(is_like("timed? ?out"), "timeout").when(is_like("modulenotfounderror|importerror|no module named"), "environment").when(is_like("syntaxerror|collecting"), "collection").when(is_like("assert|failed"), "assertion").when(is_like("passed"), "passed").otherwise("unknown")
+    """Documents by the first rule of a cascade that matches: time-out, success, environment, collection, assertion."""
+    says = lambda p: F.col("text").rlike("(?i)" + p)
+    rule = F.when(says(_TIMED_OUT), "tool_failure").when(says(_PASSED) & ~says(_FAILED), "passed")
+    for kind, patterns in LOG_RULES.items():
+        rule = rule.when(says("|".join(patterns)), kind)
+    rule = rule.otherwise("unknown_failure")
     return _documents(spark, base).select("doc_id", rule.alias("category"))
 
 
