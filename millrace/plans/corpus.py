@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import read_table
+from ..operators import tables
+from ..runtime import new_folder, read_table
+from ..sources.files import EXTENSIONS, IGNORED, PagedSource
 from .registry import query
 
-# What a scan takes in and which folders it passes over.
-EXTENSIONS = ["py", "md", "txt", "toml", "yaml", "yml", "json"]
-IGNORED = [".git", ".idea", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "node_modules", "venv"]
 _EXT = ", ".join(f"'{x}'" for x in EXTENSIONS)
 _IGN = ", ".join(f"'{x}'" for x in IGNORED)
 MAX_BYTES = 512_000
@@ -25,7 +24,7 @@ def scan_verdict() -> F.Column:
     """kept, or why a file is left out: folder, extension or size."""
     folders = F.split("path", "/")
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    return F.when(F.exists(folders, lambda s: s.isin(IGNORED)), "folder").when(~ext.isin(EXTENSIONS), "extension").when(F.octet_length("content") > MAX_BYTES, "size").otherwise("kept")
+    return F.when(F.exists(folders, lambda s: s.isin(*IGNORED)), "folder").when(~ext.isin(*EXTENSIONS), "extension").when(F.octet_length("content") > MAX_BYTES, "size").otherwise("kept")
 
 
 _SCAN = f"case when len(list_filter(string_split(path, '/'), lambda s: s in ({_IGN}))) > 0 then 'folder' when lower(list_last(string_split(path, '.'))) not in ({_EXT}) then 'extension' when strlen(content) > {MAX_BYTES} then 'size' else 'kept' end"
@@ -40,7 +39,7 @@ def s01_scan(spark: SparkSession, base: str) -> DataFrame:
 @query(f"select project_id, path, row_number() over (partition by project_id order by path)::int as position from (select distinct project_id, path from chunk_drafts where len(list_filter(string_split(path, '/'), lambda s: s in ({_IGN}))) = 0)")
 def s02_iterate_files(spark: SparkSession, base: str) -> DataFrame:
     """All files outside of ignored folders, in order of their path."""
-    kept = _drafts(spark, base).where(~F.exists(F.split("path", "/"), lambda s: s.isin(IGNORED))).select("project_id", "path").distinct()
+    kept = _drafts(spark, base).where(~F.exists(F.split("path", "/"), lambda s: s.isin(*IGNORED))).select("project_id", "path").distinct()
     return kept.withColumn("position", F.row_number().over(Window.partitionBy("project_id").orderBy("path")))
 
 
@@ -74,11 +73,46 @@ def s10_line_range(spark: SparkSession, base: str) -> DataFrame:
     return y.select("doc_id", "line_no", "total_lines", text.alias("line"), (F.col("upto") > 400).alias("cut"))
 
 
-@query("select draft_id, (generate_subscripts(ls, 1))::int as position, unnest(ls) as path, 25 as page_size from (select project_id as draft_id, list(path order by path) as ls from rag_documents group by project_id)")
+@query("""with p as (select project_id, path, max(strlen(content)) as size from chunk_drafts where path is not null group by 1, 2), s as (select *, string_split(path, '/') as s from p),
+  e as (select distinct project_id, array_to_string(s[1:k], '/') as entry, true as is_folder, null::bigint as size from (select project_id, s, unnest(range(1, len(s))) as k from s) where k <= 2 union all select project_id, path, false, size from s where len(s) - 1 <= 2),
+  r as (select *, row_number() over (partition by project_id order by entry) as r, count(*) over (partition by project_id) as n from e where contains(entry, 'te'))
+  select project_id, entry, is_folder, size::bigint as size, n > 40 as limit_reached from r where r <= 40""")
+def s03_bounded_listing(spark: SparkSession, base: str) -> DataFrame:
+    """Entries of each project to a depth of two whose path or name matches a glob, 40 at most, and whether there are more."""
+    files = _drafts(spark, base).where("path is not null").groupBy("project_id", "path").agg(F.max(F.octet_length("content")).cast("bigint").alias("size"))
+    return tables.listing(files, "project_id", "path", "size", max_depth=2, max_results=40, glob="*te*")
+
+
+@query("""with l as (select draft_id, string_split(content, chr(10)) as ls from chunk_drafts), x as (select draft_id, generate_subscripts(ls, 1)::int as line_no, unnest(ls) as line from l), h as (select draft_id, line_no from x where contains(line, 'return'))
+  select draft_id, line_no, (select count(*) > 100 from h) as limit_reached from h order by draft_id, line_no limit 100""")
+def t04_limit_with_flag(spark: SparkSession, base: str) -> DataFrame:
+    """The first 100 lines with a literal, and whether there are more: one more is taken than given."""
+    lines = _drafts(spark, base).select("draft_id", F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.contains("line", F.lit("return")))
+    return tables.first_rows(lines.select("draft_id", (F.col("i") + 1).alias("line_no")), ["draft_id", "line_no"], 100)
+
+
+@query("select project_id, display_name from projects")
+def t03_bounded_scan(spark: SparkSession, base: str) -> DataFrame:
+    """The projects, of which there may be 5,000 at most: one more is an error."""
+    return tables.bounded(read_table(spark, base, "projects").select("project_id", "display_name"), 5_000)
+
+
+PAGE = 25
+
+
+@query(f"with r as (select path, project_id, row_number() over (order by project_id, path) - 1 as i from rag_documents) select (i // {PAGE})::int as page, (i % {PAGE})::int as position, project_id || ':' || path as item from r")
 def s14_paged_listing(spark: SparkSession, base: str) -> DataFrame:
-    """Paths by position, as a source in pages hands them over."""
-    w = Window.partitionBy("project_id").orderBy("path")
-    return read_table(spark, base, "rag_documents").select(F.col("project_id").alias("draft_id"), F.row_number().over(w).alias("position"), "path", F.lit(25).alias("page_size"))
+    """The indexed files as a source hands them over page by page, each page naming the next one."""
+    items = read_table(spark, base, "rag_documents").select(F.concat("project_id", F.lit(":"), "path").alias("item"), "project_id", "path")
+    place = tables.numbered(items, ["project_id", "path"], "i")
+    pages = place.groupBy(F.floor(F.col("i") / PAGE).alias("page")).agg(F.sort_array(F.collect_list(F.struct("i", "item"))).alias("x"))
+    last = read_table(spark, base, "rag_documents").count() - 1
+    token = lambda n: F.concat(F.lit("page-"), n.cast("string"))
+    lines = pages.select(F.when(F.col("page") == 0, "").otherwise(token(F.col("page"))).alias("token"), F.when(F.col("page") < last // PAGE, token(F.col("page") + 1)).alias("next"), F.transform("x", lambda e: e["item"]).alias("items"))
+    folder = new_folder(spark, "pages")
+    lines.write.json(folder)
+    spark.dataSource.register(PagedSource)
+    return spark.read.format("pages").option("path", folder).option("max_pages", str(10**7)).option("pages_per_task", "64").load()
 
 
 @query("""with l as (select draft_id, string_split(content, chr(10)) as ls from chunk_drafts), x as (select draft_id, generate_subscripts(ls, 1) as n, unnest(ls) as line from l),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,10 +20,13 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a session without one (tests) gets a folder of its own."""
+    """Use the cluster's shared folder; only a local session without one (tests) gets a folder of its own, a cluster without one is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -28,6 +35,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,7 +60,60 @@ def ship_package(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hand a file of the driver to all executors, once per application; the name under which :func:`shipped_path` finds it there."""
+    sc = spark.sparkContext
+    held = sc.__dict__.setdefault("_millrace_files", set())
+    if path not in held:
+        sc.addFile(path)
+        held.add(path)
+    return os.path.basename(path)
+
+
+def shipped_path(name: str) -> str:
+    """Where a shipped file lies on the machine of a task."""
+    return SparkFiles.get(name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the input has fewer splits than cores, for expressions that cost more than moving a small input."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path in it, both as Java objects: whatever the cluster's Hadoop knows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def child(spark: SparkSession, path, name: str):
+    """The Java path of an entry of a folder."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+
+
+def read_document(spark: SparkSession, path: str, default: object = None) -> object:
+    """A JSON document of the driver's size (a registry, a manifest); ``default`` if there is none."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return default
+    jvm = spark.sparkContext._jvm
+    stream = fs.open(p)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_document(spark: SparkSession, value: object, path: str) -> None:
+    """Replace a JSON document in one step: written beside it, then renamed over it, so readers see the old one or the new one."""
+    jvm = spark.sparkContext._jvm
+    fs, p = file_system(spark, path)
+    fresh = child(spark, p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(p), over)

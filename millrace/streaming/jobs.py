@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tables
-from ..runtime import ensure_checkpoint_dir
+from ..runtime import child, file_system, new_folder, read_document, write_document
 
 
 def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -23,15 +22,9 @@ def table_stream(spark: SparkSession, base: str, name: str) -> DataFrame:
     return reader.parquet(f"{base}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Hand all available micro-batches to a function, then stop."""
-    q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", folder: str | None = None) -> None:
+    """Hand all available micro-batches to a function, then stop; what was done is noted in the folder."""
+    q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{folder or new_folder(stream.sparkSession, "stream")}/state").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -40,7 +33,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     Each micro-batch overwrites its own folder, so a batch that is run again after a failure leaves no rows twice.
     """
-    spark, out = stream.sparkSession, _folder(stream.sparkSession)
+    spark, out = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     done: list[str] = []
 
     def write(batch: DataFrame, n: int) -> None:
@@ -82,20 +75,87 @@ def newest_by_key(records: DataFrame, keys: list[str], time: str, id_col: str) -
     return tables.latest(run_to_table(folded, "update"), keys, [F.desc("seen")])
 
 
-def incremental_index(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def key_actions(records: DataFrame, keys: list[str], time: str, id_col: str, content: str, sure: Column) -> DataFrame:
+    """(keys, id, action): what each record does to the state of its key, in the order of time and id.
+
+    The first record of a key creates it; one with the content that the key holds is a duplicate; another one
+    supersedes it if it is ``sure``, else it is pending. The state is the digest of the content, so it stays
+    small; it lives across micro-batches, records of which arrive in order.
+    """
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else None
+        rows = pd.concat(list(pdfs)).sort_values(["_t", id_col])
+        actions = []
+        for digest, is_sure in zip(rows["_d"], rows["_s"]):
+            action = "create" if held is None else "duplicate" if digest == held else "supersede" if is_sure else "pending"
+            if action in ("create", "supersede"):
+                held = digest
+            actions.append(action)
+        state.update((held,))
+        yield pd.DataFrame({**dict(zip(keys, key)), id_col: rows[id_col].to_numpy(), "action": actions})
+
+    kinds = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in [*keys, id_col])
+    rows = records.select(*keys, id_col, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), F.sha2(F.coalesce(content, F.lit("")), 256).alias("_d"), sure.alias("_s"))
+    return run_to_table(rows.groupBy(*keys).applyInPandasWithState(fold, f"{kinds}, action string", "held string", "append", GroupStateTimeout.NoTimeout))
+
+
+def write_once(stream: DataFrame, key: str, folder: str | None = None) -> DataFrame:
+    """The rows of a stream, each key once, however often rows are delivered or batches are run again.
+
+    A batch is written over its own folder, without the keys of the batches before it. With a ``folder`` of its own a
+    job that is started again goes on where it stopped.
+    """
+    spark, out = stream.sparkSession, folder or new_folder(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = batch.dropDuplicates([key])
+        before = _numbered(spark, out, "batch-", n)
+        if before:
+            rows = rows.join(spark.read.parquet(*before).select(key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{out}/batch-{n}")
+
+    run_batches(stream, write, folder=out)
+    done = _numbered(spark, out, "batch-")
+    return spark.read.parquet(*done) if done else spark.createDataFrame([], stream.schema)
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str, below: int | None = None) -> list[str]:
+    """The whole results of that prefix in the folder, by number."""
+    fs, path = file_system(spark, folder)
+    found = []
+    for x in fs.listStatus(path) if fs.exists(path) else []:
+        name = x.getPath().getName()
+        number = name.removeprefix(prefix).removesuffix(".json")
+        if name.startswith(prefix) and number.isdigit() and (x.isFile() or fs.exists(child(spark, x.getPath(), "_SUCCESS"))):
+            found.append((int(number), x.getPath().toString()))
+    return [p for k, p in sorted(found) if below is None or k < below]
+
+
+def incremental_index(changes: DataFrame, keys: list[str], order: list[str], folder: str | None = None, buckets: int = 32) -> DataFrame:
     """The newest row of each key after all micro-batches.
 
-    Each micro-batch merges its rows into the version before and writes the next version; readers only ever
-    see whole versions, and a batch that is run again writes the same version.
+    Rows lie in buckets by their key. A micro-batch merges its rows into the buckets that it touches and then
+    writes a manifest with the place of every bucket, whole or not at all; readers only see manifests, and a
+    batch that is run again writes the same. With a ``folder`` of its own the index outlives the job: a job that
+    is started again goes on with its last manifest.
     """
-    spark, out = changes.sparkSession, _folder(changes.sparkSession)
-    versions: dict[int, str] = {}
+    spark, out = changes.sparkSession, folder or new_folder(changes.sparkSession, "stream")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def merge(batch: DataFrame, n: int) -> None:
-        before = [v for k, v in versions.items() if k < n]
-        rows = batch if not before else spark.read.parquet(before[-1]).unionByName(batch)
-        tables.latest(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{out}/version-{n}")
-        versions[n] = f"{out}/version-{n}"
+    def newest(below: int | None = None) -> dict[str, str]:
+        manifests = _numbered(spark, out, "manifest-", below)
+        return read_document(spark, manifests[-1]) if manifests else {}
 
-    run_batches(changes, merge)
-    return spark.read.parquet(versions[max(versions)]) if versions else spark.createDataFrame([], changes.schema)
+    def merge(batch: DataFrame, n: int) -> None:
+        held = newest(n)
+        batch = batch.withColumn("_bucket", bucket)
+        touched = sorted(str(r[0]) for r in batch.select("_bucket").distinct().collect())
+        before = [held[b] for b in touched if b in held]
+        rows = batch.unionByName(spark.read.parquet(*before).withColumn("_bucket", bucket)) if before else batch
+        tables.latest(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").partitionBy("_bucket").parquet(f"{out}/version-{n}")
+        write_document(spark, held | {b: f"{out}/version-{n}/_bucket={b}" for b in touched}, f"{out}/manifest-{n}.json")
+
+    run_batches(changes, merge, folder=out)
+    held = newest()
+    return spark.read.parquet(*held.values()) if held else spark.createDataFrame([], changes.schema)
