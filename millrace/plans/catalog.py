@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, corpus, memories, metrics, relational, retrieval, scalars, sets, streams, traces  # noqa: F401
+from . import chunks, corpus, eligibility, memories, metrics, relational, retrieval, scalars, sets, streams, traces  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -9,8 +9,9 @@ from ..functions import text as T
 from ..operators import packing, tables
 from ..operators import retrieval as R
 from ..runtime import read_table
+from .eligibility import CURRENT_SQL, NOW_SQL, eligible
 from .registry import query
-from .retrieval import _BIG, FUSED_SQL, _words, fused
+from .retrieval import _BIG, DIM, FUSED_SQL, _vectors_sql, _words, fused
 
 
 def _memories(spark: SparkSession, base: str) -> DataFrame:
@@ -101,30 +102,38 @@ def v12_unique_positions(spark: SparkSession, base: str) -> DataFrame:
     return read_table(spark, base, "rag_chunks").groupBy("project_id", "path").agg(F.count("*").alias("chunks"), F.max("start_line").cast("bigint").alias("last_start"), (F.count("*") == F.count_distinct("start_line")).alias("starts_unique"))
 
 
-_QT = f"qt as (select distinct project_id, candidate_id, term from (select project_id, candidate_id, unnest(list_slice(flatten(list_transform({_words('q', False)}, lambda w: list_concat([w], {_BIG}))), 1, 100000)) as term from (select project_id, candidate_id, coalesce(json_extract_string(candidate_json, '$.rationale'), '') as q from (select distinct project_id, candidate_id, candidate_json from memory_curation_decisions))))"
+# The 28 words of a query that are left out elsewhere count here, and words aren't split.
+_QUERIES_SQL = "cq as (select distinct project_id, candidate_id, coalesce(json_extract_string(candidate_json, '$.rationale'), '') as q from memory_curation_decisions)"
+_QT = f"qt as (select distinct project_id, candidate_id, term from (select project_id, candidate_id, unnest(flatten(list_transform({_words('q', False)}, lambda w: list_concat([w], {_BIG})))) as term from cq))"
 _MW = f"mw as (select memory_id, term, sum(w) as f from (select memory_id, 1.0::double as w, unnest(flatten(list_transform({_words('content', False)}, lambda w: list_concat([w], {_BIG})))) as term from mm union all select memory_id, 1.5::double, unnest(flatten(list_transform({_words('tags_json', False)}, lambda w: list_concat([w], {_BIG})))) from mm) group by 1, 2)"
 _ML = "ml as (select memory_id, sum(n) as length from (select memory_id, count(*) as n from (select memory_id, unnest(flatten(list_transform({a}, lambda w: list_concat([w], {b})))) as t from mm) group by 1 union all select memory_id, count(*) from (select memory_id, unnest(flatten(list_transform({c}, lambda w: list_concat([w], {b})))) as t from mm) group by 1) group by 1)".format(a=_words("content", False), b=_BIG, c=_words("tags_json", False))
 
 
-@query(f"""with mm as (select memory_id, project_id, coalesce(content, '') as content, coalesce(tags_json, '') as tags_json, importance from memories where status = 'active'), {_QT}, {_MW}, {_ML},
+@query(f"""with {CURRENT_SQL}, mm as (select memory_id, project_id, coalesce(content, '') as content, coalesce(tags_json, '') as tags_json, importance from memories left join cur using (project_id)
+    where status = 'active' and importance >= 0 and (expires_at is null or expires_at > {NOW_SQL}) and (scope = 'project' or repo_revision = current)), {_QUERIES_SQL}, {_QT}, {_MW}, {_ML},
   d as (select term, count(*) as df from mw group by term), t as (select (select count(*) from mm) as n, (select sum(length) from ml) / (select count(*) from mm) as avgdl),
   s as (select candidate_id, memory_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avgdl))), 6) as score from mw join d using (term) join ml using (memory_id) join mm using (memory_id) cross join t join qt on qt.term = mw.term and qt.project_id = mm.project_id group by 1, 2),
-  l as (select * from (select *, row_number() over (partition by candidate_id order by score desc, memory_id) as rank from s) where rank <= 20),
-  p as (select candidate_id, memory_id, round(0.01 * importance + 1.0::double / (60 + rank), 6) as score from l join mm using (memory_id))
-  select candidate_id, memory_id, score, rank::int as rank from (select *, row_number() over (partition by candidate_id order by score desc, memory_id) as rank from p) where rank <= 5""")
+  lex as (select * from (select *, row_number() over (partition by candidate_id order by score desc, memory_id) as rank from s) where rank <= 20),
+  qv as ({_vectors_sql('cq', 'candidate_id', 'q')}), mv as ({_vectors_sql('mm', 'memory_id', 'content')}),
+  ds as (select qv.candidate_id, mv.memory_id, round(sum(qv.x * mv.x), 6) as score from qv join cq using (candidate_id) join mm using (project_id) join mv on mv.memory_id = mm.memory_id and mv.dim = qv.dim group by 1, 2),
+  den as (select * from (select *, row_number() over (partition by candidate_id order by score desc, memory_id) as rank from ds where score > 0) where rank <= 20),
+  b as (select coalesce(lex.candidate_id, den.candidate_id) as candidate_id, coalesce(lex.memory_id, den.memory_id) as memory_id, lex.rank as lr, den.rank as dr from lex full join den on lex.candidate_id = den.candidate_id and lex.memory_id = den.memory_id),
+  p as (select candidate_id, memory_id, lr, dr, round(0.01 * importance + coalesce(1.0::double / (60 + lr), 0) + coalesce(1.0::double / (60 + dr), 0), 6) as score from b join mm using (memory_id))
+  select candidate_id, memory_id, lr::int as lexical_rank, dr::int as dense_rank, score, rank::int as rank from (select *, row_number() over (partition by candidate_id order by score desc, memory_id) as rank from p) where rank <= 5""")
 def w04_memory_rank(spark: SparkSession, base: str) -> DataFrame:
-    """Active records of its project for the rationale of each candidate: BM25 with weighted tags, reciprocal rank and a prior by importance."""
-    m = _memories(spark, base).where("status = 'active'")
-    c = read_table(spark, base, "memory_curation_decisions").select("project_id", "candidate_id", F.coalesce(F.get_json_object("candidate_json", "$.rationale"), F.lit("")).alias("q"), "candidate_json").distinct()
-    posted = R.postings(m, "memory_id", {"content": (F.col("content"), 1.0), "tags": (F.col("tags_json"), 1.5)})
-    terms = c.select("project_id", "candidate_id", F.explode(T.query_terms(F.col("q"), limit=100000, stop_words=False, camel=False)).alias("term")).distinct()
-    totals, df = R.corpus_statistics(posted, m, "memory_id")
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = posted.join(df, "term").crossJoin(F.broadcast(totals)).select("memory_id", "term", (idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("avgdl")))).alias("part"))
-    scores = part.join(m.select("memory_id", "project_id"), "memory_id").join(terms, ["project_id", "term"]).groupBy("candidate_id", "memory_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    top = R.ranked(scores, "candidate_id", "memory_id", 20).select("candidate_id", "memory_id", "rank").join(m.select("memory_id", "importance"), "memory_id")
-    prior = F.round(0.01 * F.col("importance") + F.lit(1.0).cast("double") / (60 + F.col("rank")), 6)
-    return R.ranked(top.select("candidate_id", "memory_id", prior.alias("score")), "candidate_id", "memory_id", 5)
+    """Eligible records of its project for the rationale of each candidate: BM25 with weighted tags and cosine, fused by reciprocal ranks, with a prior by importance."""
+    m = eligible(spark, base)
+    c = read_table(spark, base, "memory_curation_decisions").select("project_id", "candidate_id", F.coalesce(F.get_json_object("candidate_json", "$.rationale"), F.lit("")).alias("q")).distinct()
+    terms = c.select("project_id", "candidate_id", F.explode(T.query_terms(F.col("q"), limit=None, stop_words=False, camel=False)).alias("term"))
+    fields = {"content": (F.col("content"), 1.0), "tags": (F.col("tags_json"), 1.5)}
+    lexical = R.ranked(R.bm25(m, "memory_id", fields, terms, "candidate_id", "project_id"), "candidate_id", "memory_id", 20)
+    qv = R.hashed_vectors(c, "candidate_id", F.col("q"), DIM, "project_id")
+    mv = R.hashed_vectors(m, "memory_id", F.col("content"), DIM, "project_id")
+    dense = R.dense_ranked(qv, "candidate_id", mv, "memory_id", 20, "project_id")
+    both = R.fuse(lexical, dense, "candidate_id", "memory_id", 40).drop("score", "rank").join(m.select("memory_id", "importance"), "memory_id")
+    part = lambda r: F.coalesce(F.lit(1.0).cast("double") / (60 + F.col(r)), F.lit(0.0).cast("double"))
+    score = F.round(0.01 * F.col("importance") + part("lexical_rank") + part("dense_rank"), 6)
+    return R.ranked(both.select("candidate_id", "memory_id", "lexical_rank", "dense_rank", score.alias("score")), "candidate_id", "memory_id", 5)
 
 
 def _packets(spark: SparkSession, base: str) -> DataFrame:

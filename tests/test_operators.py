@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import runtime
+from millrace.functions import records as N
 from millrace.functions import text as T
 from millrace.functions import vector as V
 from millrace.operators import chunking, packing, tables
+from millrace.operators import retrieval as R
 from millrace.operators.graph import connected_components
 from millrace.operators.retrieval import fuse, nearest_rank, retrieval_metrics
 
@@ -183,3 +189,114 @@ def test_components_are_whole_or_an_error(spark):
     assert {(r.node, r.component) for r in connected_components(chain).collect()} == {(i, 0) for i in range(41)}
     with pytest.raises(RuntimeError):
         connected_components(chain, rounds=1)
+
+
+def test_listing_bounds_and_flag(spark):
+    rows = spark.createDataFrame([("p", "a/b/c/d.py", 1), ("p", "a/x.py", 2), ("p", "y.md", 3), ("q", "z.md", 4)], "g string, path string, n long")
+    got = {(r.g, r.entry, r.is_folder, r.limit_reached) for r in tables.listing(rows, "g", "path", "n", 1, 3).collect()}
+    assert got == {("p", "a", True, False), ("p", "a/x.py", False, False), ("p", "y.md", False, False), ("q", "z.md", False, False)}
+    assert {(r.entry, r.limit_reached) for r in tables.listing(rows.where("g = 'p'"), "g", "path", "n", 20, 2).collect()} == {("a", True), ("a/b", True)}
+    assert [r.entry for r in tables.listing(rows, "g", "path", "n", 20, 50, "*.md").orderBy("entry").collect()] == ["y.md", "z.md"]
+    with pytest.raises(ValueError):
+        tables.listing(rows, "g", "path", "n", 21, 1)
+
+
+def test_bounded_scan_fails_at_one_more(spark):
+    assert tables.bounded(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        tables.bounded(spark.range(4), 3)
+
+
+def test_first_rows_tell_of_more(spark):
+    assert [(r.id, r.limit_reached) for r in tables.first_rows(spark.range(9), ["id"], 2).orderBy("id").collect()] == [(0, True), (1, True)]
+    assert [r.limit_reached for r in tables.first_rows(spark.range(2), ["id"], 2).collect()] == [False, False]
+
+
+def test_numbers_in_order_over_partitions(spark):
+    got = tables.numbered(spark.range(1000).select((F.lit(999) - F.col("id")).alias("v")), ["v"], "i").collect()
+    assert sorted((r.v, r.i) for r in got) == [(k, k) for k in range(1000)]
+
+
+def test_nearest_rank_over_many_values_and_null_groups(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise("a").cast("string").alias("g"), (F.col("id") % 997).alias("v"))
+    got = {r.g: (r.p, r.samples) for r in nearest_rank(df, "v", {"p": 0.95}, "g").collect()}
+    for g, odd in (("a", 1), (None, 0)):
+        values = sorted(i % 997 for i in range(5000) if i % 2 == odd)
+        assert got[g] == (values[round((len(values) - 1) * 0.95)], len(values))
+
+
+def test_terms_of_batches_are_those_of_columns(spark):
+    texts = ["parseTree2Node of HTTPServer 混合检索x _a9B", "", None, "a a a.b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {(r.k, r.term): r.f for r in R.postings(df, "k", {"t": (F.col("t"), 2.0)}).where("term is not null").collect()}
+    want = {}
+    for r in df.select("k", T.with_bigrams(F.transform(T.tokens(F.coalesce("t", F.lit(""))), T.casefold)).alias("w")).collect():
+        for w in r.w:
+            want[r.k, w] = want.get((r.k, w), 0) + 2.0
+    assert got == want
+    for t in texts[:2]:
+        words = df.where(F.col("t") == t).select(T.features(F.col("t")).alias("f")).first().f
+        assert sorted(words) == sorted(f for w in T.TOKENS.findall(t) for f in T.word_features(w))
+
+
+def test_terms_beyond_what_is_sent_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha gamma"), (3, None)], "d int, t string")
+    terms = spark.createDataFrame([(7, "alpha"), (7, "gamma"), (8, "delta")], "q int, term string")
+    run = lambda: {(r.q, r.d, r.score) for r in R.bm25(docs, "d", {"t": (F.col("t"), 1.0)}, terms, "q").collect()}
+    sent = run()
+    monkeypatch.setattr(R, "SENT_TERMS", 1)
+    assert run() == sent and {(q, d) for q, d, _ in sent} == {(7, 1), (7, 2)}
+
+
+def test_dense_ranking_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.round(rng.normal(size=(n, 8)), 1) + 0.01)
+    q, d = unit(11), unit(700)
+    d[5] = d[9]
+    qs = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(q)], "q int, vec array<double>, g int")
+    ds = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(d)], "d int, vec array<double>, g int")
+    for group in (None, "g"):
+        got = {(r.q, r.d, r["rank"]) for r in R.dense_ranked(qs, "q", ds, "d", 6, group).collect()}
+        want = set()
+        for i in range(11):
+            order = sorted((-round(float(q[i] @ d[j]), 6), j) for j in range(700) if not group or i % 2 == j % 2)
+            want |= {(i, j, k + 1) for k, (s, j) in enumerate(order[:6]) if s < 0}
+        assert got == want
+    blocks = R.dense_map(qs, "q", ds, "d", "n bigint", lambda ids, scores: iter([pd.DataFrame({"n": [len(ids) * sum(len(k) for k, _ in scores)]})]), block=4)
+    assert blocks.agg(F.sum("n")).first()[0] == 11 * 700
+
+
+def test_json_by_structure(spark):
+    text = '{"_meta": 1, "a": [{"_meta": {"x": 2}, "b": {"_meta": 0, "c": 3}}], "d": "_meta"}'
+    schema = '{"title": "T", "type": "object", "properties": {"title": {"type": "string", "description": "d", "default": 1}}, "enum": [{"title": 1}], "required": ["title"]}'
+    df = spark.createDataFrame([(text, schema, "[[1], 2]"), (None, "no json", "5")], "t string, s string, n string")
+    rows = df.select(N.without_key(F.col("t"), "_meta").alias("t"), N.schema_structure(F.col("s")).alias("s"), N.json_depth("n").alias("n")).collect()
+    assert json.loads(rows[0].t) == {"a": [{"b": {"c": 3}}], "d": "_meta"} and rows[1].t is None and rows[1].s is None
+    assert json.loads(rows[0].s) == {"type": "object", "properties": {"title": {"type": "string"}}, "enum": [{"title": 1}], "required": ["title"]}
+    assert [r.n for r in rows] == [2, 0]
+
+
+def test_eligibility_rules(spark):
+    base = dict(status="active", importance=0.5, expires_at=None, memory_type="semantic", claim_status="verified", scope="project", repo_revision=None)
+    changes = [{}, {"status": "expired"}, {"importance": None}, {"expires_at": 5}, {"expires_at": 20}, {"claim_status": "refuted"}, {"scope": "revision", "repo_revision": "r1"}, {"scope": "revision", "repo_revision": "r0"}, {"scope": "revision"}]
+    rows = [tuple({**base, **c}.values()) for c in changes]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status string, importance double, expires_at int, memory_type string, claim_status string, scope string, repo_revision string")
+    ids = lambda **k: [r.i for r in df.where(N.eligible(F.lit(10), F.lit("r1"), **k)).orderBy("i").collect()]
+    assert ids() == [0, 4, 5, 6] and ids(claims=("verified",)) == [0, 4, 6] and ids(allow_stale=True) == [0, 4, 5, 6, 7, 8] and ids(types=("episodic",)) == []
+    flags = df.select(N.stale(F.col("scope"), F.col("repo_revision"), F.lit("r1")).alias("s")).collect()
+    assert [r.s for r in flags] == [False] * 7 + [True, True]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        runtime.ensure_checkpoint_dir(Session())

@@ -91,3 +91,75 @@ def test_keyed_state_lives_across_micro_batches(spark, tmp_path):
     t = [r.t for r in spark.range(4).select(F.timestamp_seconds(F.col("id") * 100).alias("t")).collect()]
     records = stream(spark, tmp_path, [[("k", "a", t[1]), ("l", "b", t[0])], [("k", "c", t[3])], [("k", "d", t[2])]], schema)
     assert {tuple(r) for r in jobs.newest_by_key(records, ["k"], "at", "id").collect()} == {("k", 3, "c"), ("l", 1, "b")}
+
+
+def test_index_goes_on_after_a_restart(spark, tmp_path):
+    schema = "path string, hash string, at int"
+    folder = str(tmp_path / "index")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "1", 1), ("b", "1", 1)])
+    assert jobs.incremental_index(source, ["path"], ["at"], folder).count() == 2
+    put([("a", "2", 2), ("c", "1", 2)])
+    got = jobs.incremental_index(source, ["path"], ["at"], folder)
+    assert {tuple(r) for r in got.select("path", "hash", "at").collect()} == {("a", "2", 2), ("b", "1", 1), ("c", "1", 2)}
+    # Only the buckets of the second batch were written again.
+    places = set(jobs.read_document(spark, f"{folder}/manifest-1.json").values())
+    assert any("version-0" in x for x in places) and any("version-1" in x for x in places)
+
+
+def test_sink_writes_a_key_once_after_a_restart(spark, tmp_path):
+    folder = str(tmp_path / "sink")
+    source = spark.readStream.schema("k string, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    put = lambda rows: spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", 1), ("a", 1)])
+    jobs.write_once(source, "k", folder)
+    put([("a", 1), ("b", 2)])
+    assert sorted(r.k for r in jobs.write_once(source, "k", folder).collect()) == ["a", "b"]
+
+
+def test_actions_on_a_key_over_micro_batches(spark, tmp_path):
+    schema = "k string, id string, at timestamp, c string, sure boolean"
+    t = [r.t for r in spark.range(6).select(F.timestamp_seconds(F.col("id") * 100).alias("t")).collect()]
+    records = stream(spark, tmp_path, [[("k", "a", t[0], "x", False), ("k", "b", t[1], "y", False)], [("k", "c", t[2], "x", True), ("k", "d", t[3], "y", True), ("k", "e", t[4], "y", False)]], schema)
+    got = jobs.key_actions(records, ["k"], "at", "id", "c", F.col("sure"))
+    assert {(r.id, r.action) for r in got.collect()} == {("a", "create"), ("b", "pending"), ("c", "duplicate"), ("d", "supersede"), ("e", "duplicate")}
+
+
+def test_documents_are_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "registry.json")
+    assert jobs.read_document(spark, path, []) == []
+    for value in ({"a": 1}, {"ä": [None, 2.5]}):
+        jobs.write_document(spark, value, path)
+        assert jobs.read_document(spark, path) == value
+    assert [x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")] == ["registry.json"]
+
+
+def test_report_is_found_after_a_crash_between_the_moves(spark, tmp_path):
+    path = tmp_path / "report"
+    files.write_report(spark.range(3), str(path))
+    path.rename(tmp_path / "report.old")
+    assert files.read_report(spark, str(path)).count() == 3
+    files.write_report(spark.range(2), str(path))
+    assert files.read_report(spark, str(path)).count() == 2
+
+
+def test_large_files_are_left_out_unread(spark, tmp_path):
+    (tmp_path / "a.PY").write_text("x")
+    (tmp_path / "b.py").write_bytes(b"\xff" * 5000)
+    df = files.scan_tree(spark, str(tmp_path), max_bytes=2000)
+    assert {r.path: r.verdict for r in df.collect()} == {"a.PY": "kept", "b.py": "size"}
+
+
+def test_pages_of_a_folder_by_uri(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"token": "n", "items": ["c"]}) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"token": "", "next": "n", "items": ["a", "b"]}) + "\n")
+    spark.dataSource.register(files.PagedSource)
+    got = spark.read.format("pages").option("path", f"file://{tmp_path}").option("pages_per_task", "8").load()
+    assert [(r.page, r.item) for r in got.orderBy("page", "position").collect()] == [(0, "a"), (0, "b"), (1, "c")]
+
+
+def test_cases_without_keys_are_no_group(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join(['{"query": "q"}', '{"query": "q"}', '{"case_id": "a"}']))
+    good, bad = files.read_cases(spark, str(tmp_path / "c.jsonl"), T.StructType().add("case_id", "string").add("query", "string"), "case_id")
+    assert good.count() == 1 and [r.problem for r in bad.collect()] == ["missing key"] * 2
