@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_file, shipped_path
+
 DICTIONARY = "/opt/tokenizers/word_bpe_49k.json"
 
 # What names, placeholders and public token formats look like.
@@ -31,6 +33,7 @@ TOKEN_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----BEGIN )){40,}?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 ACCOUNT_URL = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`]{3,})@")
 LITERAL = re.compile(r"([\"'`])([^\s\"'`]{6,})\1")
+SPACED = re.compile(r"[=:,>(]\s*[bBrRuU]?([\"'`])([^\s\"'`]+(?: [^\s\"'`]+)+)\1")
 NAME_AT_END = re.compile(r"[A-Za-z_][\w.-]*\Z")
 BARE = re.compile(r"(?m)^[ \t]*(?:[-*#+]|//|export|set|ENV)*[ \t]*([A-Za-z_][\w.-]*)[ \t]*[:=][ \t]*`?([^\s\"'`#;{(\[][^\s\"'`]{5,})`?[ \t]*(?:#.*)?\r?$")
 FLAG = re.compile(r"--?([A-Za-z][\w-]*)[= ]([^\s\"'`,;)<$]{6,})")
@@ -52,40 +55,59 @@ BLOB_STARTS = re.compile(r"^(?:iVBORw0KGgo|R0lGOD|/9j/|Qk[01]|UklGR|AAABAA|PHN2Z
 SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
+class Words(dict):
+    """Costs of dictionary words, and the length of the longest one."""
+
+    longest = 0
+
+
 @functools.lru_cache(maxsize=4)
-def dictionary(path: str) -> dict[str, float]:
+def dictionary(path: str) -> Words:
     """Costs of the whole words of a public vocabulary: the negative log of a Zipf share by rank."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words = [w[:-4] for w, _ in sorted(vocab.items(), key=lambda x: x[1]) if w.endswith("</w>") and w[:-4].isalpha() and w[:-4].isascii() and len(w) > 6]
-    return {w: math.log(r + 12) for r, w in reversed(list(enumerate(words)))}
+    out = Words({w: math.log(r + 12) for r, w in reversed(list(enumerate(words)))})
+    out.longest = max(map(len, words), default=0)
+    return out
 
 
-def unexplained(literal: str, words: dict[str, float], letter: float = 4.2) -> int:
-    """Characters of the literal that the cheapest segmentation into dictionary words leaves over.
+def segmented(run: str, words: Words, letter: float = 4.2) -> tuple[int, int]:
+    """(letters left over, words) of the cheapest segmentation of a run of letters, by Viterbi.
 
-    Viterbi over each run of letters: a word of 3 letters or more costs its dictionary cost, a letter alone
-    ``letter``; plain separators are free, digits and other signs stay over.
+    A word of 3 letters or more costs its dictionary cost, a letter alone ``letter``. A word is written in one
+    case: lower, upper or with a capital in front.
     """
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for j in range(1, len(run) + 1):
+        cost, left, n = best[j - 1]
+        cost, left = cost + letter, left + 1
+        for i in range(max(0, j - words.longest), j - 2):
+            w = run[i:j]
+            if (w.islower() or w.isupper() or w[1:].islower()) and (c := words.get(w.lower())) is not None and best[i][0] + c < cost:
+                cost, left, n = best[i][0] + c, best[i][1], best[i][2] + 1
+        best.append((cost, left, n))
+    return best[-1][1:]
+
+
+def unexplained(literal: str, words: Words) -> int:
+    """Characters of the literal that the cheapest segmentation into dictionary words leaves over; plain separators are free, digits and other signs stay over."""
     over = 0
     for run in re.findall(r"[A-Za-z]+|[^A-Za-z]", literal):
-        if not run.isalpha() or not run.isascii():
-            over += run not in "-_./: ,"
-            continue
-        # A word is written in one case: lower, upper or with a capital in front.
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for j in range(1, len(run) + 1):
-            cost, left = best[j - 1]
-            cost, left = cost + letter, left + 1
-            for i in range(max(0, j - 16), j - 2):
-                w = run[i:j]
-                if (w.islower() or w.isupper() or w[1:].islower()) and (c := words.get(w.lower())) is not None and best[i][0] + c < cost:
-                    cost, left = best[i][0] + c, best[i][1]
-            best.append((cost, left))
-        over += best[-1][1]
+        over += segmented(run, words)[0] if run.isalpha() and run.isascii() else run not in "-_./: ,"
     return over
 
 
+def is_passphrase(value: str, words: Words) -> bool:
+    """Whether a value under a name that says credential is one made of words: three or more run together in one case, or signs in groups that words don't explain."""
+    if PLACEHOLDER.match(value) or HASHES.match(value):
+        return False
+    if " " in value:
+        left, shown = unexplained(value, words), len(value.replace(" ", ""))
+        return bool(re.search(r"\d", value) and re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) and left >= max(8, 0.7 * shown)
+    return len(value) >= 16 and value.isascii() and value.isalpha() and (value.islower() or value.isupper()) and (got := segmented(value, words))[0] == 0 and got[1] >= 3
+
+
 def name_before(head: str) -> tuple[str, str]:
     """The name to which a literal after this text is given, and the sign between them; empty if there is none."""
     whole, head = head, head.rstrip(" \t\r\n(")
@@ -144,7 +166,7 @@ def is_blob(value: str) -> bool:
     return bool(re.search(r"[^A-Za-z0-9+/=_.~-]", value)) or len(set(parts)) < 0.9 * len(parts)
 
 
-def is_secret(value: str, speaks: int, words: dict[str, float]) -> bool:
+def is_secret(value: str, speaks: int, words: Words) -> bool:
     """Whether a literal under a name (see :func:`name_speaks`) is a credential by itself."""
     value = value.strip()
     if len(value) < 6 or PLACEHOLDER.match(value) or (m := ACCOUNT_URL.search(value)):
@@ -170,14 +192,14 @@ def account_in_base64(value: str) -> bool:
     return bool(sign and user and word.isprintable() and not PLACEHOLDER.match(word))
 
 
-def said_secret(v: str, words: dict[str, float]) -> bool:
+def said_secret(v: str, words: Words) -> bool:
     """Whether a word in prose is a credential: letters and digits, no path, call, hash or identifier."""
     if not (re.search(r"[A-Za-z]", v) and re.search(r"\d", v)) or re.search(r"[/(\[]", v) or HASHES.match(v) or v.count("_") > 1:
         return False
     return is_secret(v, 2, words)
 
 
-def find_credentials(content: str, words: dict[str, float], code: bool = False) -> list[tuple[int, int]]:
+def find_credentials(content: str, words: Words, code: bool = False) -> list[tuple[int, int]]:
     """Spans (begin, end) of credential values, sorted, not overlapping; a value in several literals is one span.
 
     In ``code`` a value without quotes is an expression, not a literal, and neighbouring literals are one value.
@@ -215,7 +237,12 @@ def find_credentials(content: str, words: dict[str, float], code: bool = False)
     for m in LITERAL.finditer(text):
         name, sign = name_before(head_of(text, m.start()))
         speaks = name_speaks(name) if name else 0
-        if speaks and (speaks == 2 or sign != ",") and is_secret(m[2], speaks, words) and not (speaks == 1 and len(m[2]) > 64 and in_rows(m.start(2), m.end(2))):
+        if speaks == 2 and is_passphrase(m[2], words):
+            add(m.start(2), m.end(2))
+        elif speaks and (speaks == 2 or sign != ",") and is_secret(m[2], speaks, words) and not (speaks == 1 and len(m[2]) > 64 and in_rows(m.start(2), m.end(2))):
+            add(m.start(2), m.end(2))
+    for m in SPACED.finditer(text):
+        if re.search(r"\d", m[2]) and (name := name_before(head_of(text, m.start(1)))[0]) and name_speaks(name) == 2 and is_passphrase(m[2], words):
             add(m.start(2), m.end(2))
     for m in BARE.finditer(text) if not code else ():
         speaks = name_speaks(m[1])
@@ -280,8 +307,10 @@ def credentials(df: DataFrame, id_col: str, text_col: str, path_col: str, dictio
     give repeated findings; texts of any length are read whole.
     """
 
+    name = ship_file(df.sparkSession, dictionary_path)
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = dictionary(dictionary_path)
+        words = dictionary(shipped_path(name))
         for pdf in batches:
             rows = [(i, t.count("\n", 0, b) + 1, b, e) for i, t, p in zip(pdf["id"], pdf["text"], pdf["path"]) for b, e in find_credentials(t, words, is_code(p))]
             yield pd.DataFrame(rows, columns=["id", "line_no", "begin", "end"])
@@ -296,9 +325,11 @@ def redact_credentials(df: DataFrame, text_col: str, path_col: str, out_col: str
     Quotes, line ends inside a value and everything around it stay, so the code keeps its lines and its syntax.
     """
 
+    name = ship_file(df.sparkSession, dictionary_path)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        words = dictionary(dictionary_path)
+        words = dictionary(shipped_path(name))
 
         def one(t: str | None, p: str | None) -> str | None:
             if t is None:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, ship_file, shipped_path
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern that belongs to this vocabulary.
@@ -21,14 +21,15 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id, tokens) by a byte-level BPE rank file; a null text has 0 tokens, null ids are left out."""
+    """(id, tokens) by a byte-level BPE rank file of the driver; a null text has 0 tokens, null ids are left out."""
+    name = ship_file(df.sparkSession, tokenizer)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
+        with open(shipped_path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
