@@ -76,22 +76,22 @@ def schema_structure(text: Column) -> Column:
     return _over_json(strip)(text)
 
 
-@F.pandas_udf("int")
-def json_depth(texts: pd.Series) -> pd.Series:
+def json_depth(text: Column) -> Column:
     """Levels of objects and arrays: 0 for a single value, null where the text isn't JSON."""
 
     def depth(t: str | None) -> int | None:
         try:
-            level, now = 0, [json.loads(t)] if t is not None else None
+            level = [json.loads(t)] if t is not None else None
         except (ValueError, RecursionError):
             return None
-        if now is None:
-            return None
-        while True:
-            now = [v for x in now if isinstance(x, (dict, list)) for v in [x]]
-            if not now:
-                return level
-            level += 1
-            now = [v for x in now for v in (x.values() if isinstance(x, dict) else x)]
-
-    return pd.Series([depth(t) for t in texts], dtype="Int32")
+        n = 0
+        while level is not None and (level := [x for x in level if isinstance(x, (dict, list))]):
+            n += 1
+            level = [v for x in level for v in (x.values() if isinstance(x, dict) else x)]
+        return None if level is None else n
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([depth(t) for t in texts], dtype="Int32")
+
+    return run(text)

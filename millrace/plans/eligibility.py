@@ -108,7 +108,7 @@ def f39_json_bytes(spark: SparkSession, base: str) -> DataFrame:
 def f45_json_depth(spark: SparkSession, base: str) -> DataFrame:
     """The levels of nested JSON."""
     d = read_table(spark, base, "memory_curation_decisions").select("candidate_id", "candidate_json").distinct()
-    return d.select("candidate_id", N.json_depth("candidate_json").alias("depth"))
+    return d.select("candidate_id", N.json_depth(F.col("candidate_json")).alias("depth"))
 
 
 _V03 = """select 'perceptual_evidence' as rule, memory_id as id from memories where memory_type = 'perceptual' and len(from_json(evidence_json, '["VARCHAR"]')) = 0

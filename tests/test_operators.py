@@ -270,7 +270,7 @@ def test_json_by_structure(spark):
     text = '{"_meta": 1, "a": [{"_meta": {"x": 2}, "b": {"_meta": 0, "c": 3}}], "d": "_meta"}'
     schema = '{"title": "T", "type": "object", "properties": {"title": {"type": "string", "description": "d", "default": 1}}, "enum": [{"title": 1}], "required": ["title"]}'
     df = spark.createDataFrame([(text, schema, "[[1], 2]"), (None, "no json", "5")], "t string, s string, n string")
-    rows = df.select(N.without_key(F.col("t"), "_meta").alias("t"), N.schema_structure(F.col("s")).alias("s"), N.json_depth("n").alias("n")).collect()
+    rows = df.select(N.without_key(F.col("t"), "_meta").alias("t"), N.schema_structure(F.col("s")).alias("s"), N.json_depth(F.col("n")).alias("n")).collect()
     assert json.loads(rows[0].t) == {"a": [{"b": {"c": 3}}], "d": "_meta"} and rows[1].t is None and rows[1].s is None
     assert json.loads(rows[0].s) == {"type": "object", "properties": {"title": {"type": "string"}}, "enum": [{"title": 1}], "required": ["title"]}
     assert [r.n for r in rows] == [2, 0]

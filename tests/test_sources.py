@@ -96,6 +96,7 @@ def test_keyed_state_lives_across_micro_batches(spark, tmp_path):
 def test_index_goes_on_after_a_restart(spark, tmp_path):
     schema = "path string, hash string, at int"
     folder = str(tmp_path / "index")
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     put([("a", "1", 1), ("b", "1", 1)])
@@ -110,6 +111,7 @@ def test_index_goes_on_after_a_restart(spark, tmp_path):
 
 def test_sink_writes_a_key_once_after_a_restart(spark, tmp_path):
     folder = str(tmp_path / "sink")
+    (tmp_path / "in").mkdir()
     source = spark.readStream.schema("k string, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     put = lambda rows: spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     put([("a", 1), ("a", 1)])
