@@ -49,6 +49,12 @@ def test_marks_are_taken_back_or_denied_one_by_one(spark):
     assert got == {2: ("vendored", "directory"), 3: ("declared", "attributes"), 4: ("generated", "name"), 6: ("vendored", "directory")}
 
 
+@pytest.mark.parametrize("path,text,kind", [("src/app/deps/auth.py", "def f():\n    pass\n", None), ("deps/lib/a.py", "def f():\n    pass\n", "vendored"), ("a.py", "# Copyright (c) 2024 the Foo authors\nx = 1\n", None), ("a.py", '"""Finds files which say do not edit."""\nx = 1\n', None), ("a.py", "# note\n" * 40 + "# Do not edit.\nx = 1\n", "generated"), ("a.py", "# " + "x" * 300 + "\n# Code generated by t. DO NOT EDIT.\n", "generated")])
+def test_weak_signs_alone_are_none(path, text, kind):
+    got = provenance.judge(path, text)
+    assert (got and got[0]) == kind
+
+
 # --- credentials
 
 
