@@ -139,3 +139,50 @@ def v12_contiguous(spark: SparkSession, base: str) -> DataFrame:
     per = c.withColumn("i", i).groupBy("project_id", "path").agg(F.count("*").alias("chunks"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_distinct("i").alias("distinct"))
     contiguous = (F.col("lo") == 0) & (F.col("hi") == F.col("chunks") - 1) & (F.col("distinct") == F.col("chunks"))
     return per.join(read_table(spark, base, "rag_documents"), ["project_id", "path"]).select("project_id", "path", "chunks", contiguous.alias("contiguous"), (F.col("chunk_count") == F.col("chunks")).alias("complete"))
+
+
+@query("""select user_id, count(*)::bigint as events, list(event_id order by ts, event_id) filter (event_type = 'error') as errors, arg_max(event_id, (ts, event_id)) filter (event_type = 'purchase') as last_purchase from events group by user_id""")
+def x04_reduced_states(spark: SparkSession, base: str) -> DataFrame:
+    """The state of each run after its events: errors are appended, the last purchase is replaced."""
+    e = read_table(spark, base, "events")
+    when = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id"))
+    out = jobs.reduced_states(e, ["user_id"], ["ts", "event_id"], {"errors": when("error")}, {"last_purchase": when("purchase")})
+    return out.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")))
+
+
+@query("select memory_id, case when lead(memory_id) over w is null then status else 'superseded' end as status_after, lag(memory_id) over w as points_to from memories where memory_key is not null and status in ('active', 'superseded') window w as (partition by project_id, memory_key order by created_at, memory_id)")
+def g03_superseded(spark: SparkSession, base: str) -> DataFrame:
+    """Records under a key after each has superseded the one before: only the newest keeps its status, each points back."""
+    w = Window.partitionBy("project_id", "memory_key").orderBy("created_at", "memory_id")
+    m = read_table(spark, base, "memories").where("memory_key is not null and status in ('active', 'superseded')")
+    return m.select("memory_id", F.when(F.lead("memory_id").over(w).isNull(), F.col("status")).otherwise("superseded").alias("status_after"), F.lag("memory_id").over(w).alias("points_to"))
+
+
+@query("""with d as (select *, row_number() over (partition by project_id, candidate_id order by created_at, updated_at, action) as r from memory_curation_decisions)
+  select candidate_id, action from d where r = 1""")
+def g11_replayed(spark: SparkSession, base: str) -> DataFrame:
+    """Decisions after a replay of all deliveries: what was decided first under a key stays."""
+    d = read_table(spark, base, "memory_curation_decisions")
+    first = F.min_by(F.struct("candidate_id", "action"), F.struct("created_at", "updated_at", "action"))
+    return d.groupBy("project_id", "candidate_id").agg(first.alias("x")).select("x.candidate_id", "x.action")
+
+
+_PATCH_RULES = """
+  select 'fields_of_action' as rule, candidate_id as id from (select distinct candidate_id, action, result_memory_id from memory_curation_decisions) where (action in ('create', 'supersede')) <> (result_memory_id is not null)
+  union all select 'path_repeated', project_id || ':' || path from chunk_drafts where project_id is not null and path is not null group by project_id, path, scanned_at having count(*) > 1
+  union all select 'expected_repeated', item_id::varchar from eval_cases where len(relevant_paths) <> len(list_distinct(relevant_paths))
+  union all select 'steps', item_id::varchar from eval_cases where len(relevant_paths) not between 1 and 6
+"""
+
+
+@query(_PATCH_RULES)
+def v08_change_rules(spark: SparkSession, base: str) -> DataFrame:
+    """What breaks the rules of changes: fields that don't fit the action, paths given twice, repeated expectations, other than 1 to 6 steps (V08 to V11)."""
+    d = read_table(spark, base, "memory_curation_decisions").select("candidate_id", "action", "result_memory_id").distinct()
+    fields = d.where(F.col("action").isin("create", "supersede") != F.col("result_memory_id").isNotNull()).select(F.lit("fields_of_action").alias("rule"), F.col("candidate_id").alias("id"))
+    paths = read_table(spark, base, "chunk_drafts").where("project_id is not null and path is not null").groupBy("project_id", "path", "scanned_at").count().where("count > 1")
+    paths = paths.select(F.lit("path_repeated").alias("rule"), F.concat("project_id", F.lit(":"), "path").alias("id"))
+    n = F.size("relevant_paths")
+    rules = F.array_compact(F.array(F.when(n != F.size(F.array_distinct("relevant_paths")), "expected_repeated"), F.when(~n.between(1, 6), "steps")))
+    cases = read_table(spark, base, "eval_cases").select(F.explode(rules).alias("rule"), F.col("item_id").cast("string").alias("id"))
+    return fields.unionByName(paths).unionByName(cases)

@@ -159,3 +159,24 @@ def incremental_index(changes: DataFrame, keys: list[str], order: list[str], fol
     run_batches(changes, merge, folder=out)
     held = newest()
     return spark.read.parquet(*held.values()) if held else spark.createDataFrame([], changes.schema)
+
+
+def guard_revision(spark: SparkSession, folder: str, project: str, revision: str) -> None:
+    """Let a job go on in a folder only for the project and revision for which it was begun; anything else is an error."""
+    path, own = f"{folder}/guard.json", {"project": project, "revision": revision}
+    begun = read_document(spark, path)
+    if begun is None:
+        write_document(spark, own, path)
+    elif begun != own:
+        raise ValueError(f"{folder} was begun for {begun}, not for {own}")
+
+
+def reduced_states(events: DataFrame, by: list[str], order: list[str], appended: dict[str, Column], replaced: dict[str, Column]) -> DataFrame:
+    """(by, events, the columns): the state of each run after all its events in order.
+
+    ``appended`` values are gathered in order, nulls left out; of ``replaced`` ones the last that isn't null stays.
+    """
+    place = F.struct(*order)
+    grow = [F.transform(F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(place.alias("at"), c.alias("v"))))), lambda x: x["v"]).alias(n) for n, c in appended.items()]
+    last = [F.max_by(c, F.when(c.isNotNull(), place)).alias(n) for n, c in replaced.items()]
+    return events.groupBy(*by).agg(F.count("*").alias("events"), *grow, *last)

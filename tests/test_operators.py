@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import runtime
+from millrace.functions import ports as P
 from millrace.functions import records as N
 from millrace.functions import text as T
 from millrace.functions import vector as V
@@ -300,3 +301,45 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         runtime.ensure_checkpoint_dir(Session())
+
+
+class Broken:
+    model_id, dimensions = "broken", 3
+
+    def embed_texts(self, texts):
+        return [[1.0, 2.0]] * len(texts)
+
+
+def test_embedders_are_plugged_in_and_checked(spark):
+    df = spark.createDataFrame([(1, "parseTree of nodes"), (2, None)], "k int, t string")
+    got = {r.k: r for r in P.embed(df, "k", F.col("t"), P.HashEmbedder(32)).collect()}
+    want = {r.k: r.embedding for r in V.feature_hash(df, "k", T.features(F.coalesce("t", F.lit(""))), 32).collect()}
+    assert got[1].embedding == pytest.approx(want[1], abs=1e-6) and got[2].embedding == [0.0] * 32 and got[1].embedding_model == "feature-hash-32"
+    with pytest.raises(Exception):
+        P.embed(df, "k", F.col("t"), Broken()).collect()
+
+
+def test_extractors_are_plugged_in(spark):
+    df = spark.createDataFrame([(1, "a=1 b=2"), (2, None), (3, "")], "k int, t string")
+    got = P.extract(df, "k", F.col("t"), lambda t: [dict(zip(("name", "value"), x.split("="))) | {"other": 1} for x in t.split()], "name string, value string")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "a", "1"), (1, 1, "b", "2")]
+
+
+def test_tools_are_called_through_an_allow_list(spark):
+    tools = P.Registry()
+    tools.register("add", lambda a, b=1: a + b, ("a",), ("b",))
+    tools.register("drop", lambda: None)
+    with pytest.raises(ValueError):
+        tools.register("add", print)
+    calls = [(1, "add", '{"a": 2}'), (2, "add", '{"a": 2, "b": 5}'), (3, "add", '{"c": 1}'), (4, "drop", "{}"), (5, "gone", "{}"), (6, "add", "no"), (7, "add", '{"a": "x"}'), (8, None, None)]
+    got = {r.i: (r.verdict, r.answer) for r in tools.run(spark.createDataFrame(calls, "i int, n string, a string"), "i", "n", "a", ("add",)).collect()}
+    assert [got[i] for i in (1, 2)] == [("done", "3"), ("done", "7")] and [got[i][0] for i in range(3, 9)] == ["invalid", "denied", "unknown", "invalid", "failed", "invalid"]
+
+
+@pytest.mark.parametrize("query,k,mode,ok", [("q", 20, "dense", True), (" ", 5, "dense", False), ("q" * 2001, 5, "dense", False), ("q", 0, "dense", False), ("q", 21, "dense", False), ("q", 5, "magic", False)])
+def test_search_arguments(query, k, mode, ok):
+    if ok:
+        P.check_search(query, k, mode)
+    else:
+        with pytest.raises(ValueError):
+            P.check_search(query, k, mode)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.sources import files
+from millrace.sources import files, sqlite
 from millrace.streaming import jobs
 
 
@@ -165,3 +165,28 @@ def test_cases_without_keys_are_no_group(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("\n".join(['{"query": "q"}', '{"query": "q"}', '{"case_id": "a"}']))
     good, bad = files.read_cases(spark, str(tmp_path / "c.jsonl"), T.StructType().add("case_id", "string").add("query", "string"), "case_id")
     assert good.count() == 1 and [r.problem for r in bad.collect()] == ["missing key"] * 2
+
+
+def test_sqlite_round_trip(spark, tmp_path):
+    path = str(tmp_path / "store.db")
+    df = spark.range(100).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("ü"), F.col("id").cast("string"))).alias("na me"), (F.col("id") / 4).alias("x"))
+    sqlite.write_sqlite(df.repartition(3), path, "rows")
+    back = sqlite.read_sqlite(spark, path, "rows", 5)
+    assert back.rdd.getNumPartitions() == 5 and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    sqlite.write_sqlite(df.limit(2), path, "rows")
+    assert sqlite.read_sqlite(spark, path, "rows").count() == 102
+    sqlite.write_sqlite(df.limit(4).coalesce(1), path, "rows", "overwrite")
+    assert sqlite.read_sqlite(spark, path, "rows").count() == 4
+    with pytest.raises(Exception):
+        sqlite.write_sqlite(df.select("id", F.raise_error(F.lit("no")).cast("string").alias("na me"), "x"), path, "rows")
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        assert db.execute("select count(*) from rows").fetchone() == (4,) and db.execute("select count(*) from sqlite_master").fetchone() == (1,)
+
+
+def test_a_job_goes_on_only_for_its_revision(spark, tmp_path):
+    for _ in range(2):
+        jobs.guard_revision(spark, str(tmp_path), "p", "r1")
+    with pytest.raises(ValueError):
+        jobs.guard_revision(spark, str(tmp_path), "p", "r2")
