@@ -22,74 +22,143 @@ K1, B = 1.2, 0.75
 SENT_TERMS = 200_000
 
 
-def postings(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], only: frozenset[str] | None = None, group: str | None = None) -> DataFrame:
-    """(key, term, f, length): the weighted frequency of each term in each row and the row's token count over all fields.
+class _Counter:
+    """Counts the weighted terms of rows; a task keeps the terms of the tokens that it has seen."""
+
+    def __init__(self, weights: list[float], keep: Callable[[str], object]) -> None:
+        self.weights, self.keep, self.seen = weights, keep, {}
+
+    def count(self, texts: list[str]) -> tuple[int, dict[object, float]]:
+        """(tokens of all fields, weight of each term that is kept)."""
+        length, found = 0, {}
+        for weight, text in zip(self.weights, texts):
+            for word, n in Counter(T.TOKENS.findall(text)).items():
+                got = self.seen.get(word)
+                if got is None:
+                    if len(self.seen) > 500_000:
+                        self.seen.clear()
+                    terms = T.word_terms(word.lower())
+                    got = self.seen[word] = (len(terms), [k for k in map(self.keep, terms) if k is not None])
+                length += n * got[0]
+                for t in got[1]:
+                    found[t] = found.get(t, 0.0) + n * weight
+        return length, found
+
+
+def _kinds(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _texts(fields: dict[str, tuple[Column, float]]) -> list[Column]:
+    return [F.coalesce(c, F.lit("")).alias(f"text{k}") for k, (c, _) in enumerate(fields.values())]
+
+
+def postings(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], group: str | None = None) -> DataFrame:
+    """(key, the group if there is one, term, f, length): the weighted frequency of each term in each row and the row's token count over all fields.
 
     Counted within the row, in Arrow batches, without a shuffle. Each row also has an entry with a null term, so
-    that totals over all rows come from the same pass. With ``only`` other terms are left out. A column ``group`` is
-    kept.
+    that totals over all rows come from the same pass.
     """
     weights = [w for _, w in fields.values()]
     kept = [key, group] if group else [key]
-    share = chunks.sparkSession.sparkContext.broadcast(only)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, seen = share.value, {}
+        counter = _Counter(weights, lambda t: t)
         for pdf in batches:
             at, terms, fs, lengths = [], [], [], []
-            columns = [pdf[f"text{k}"].tolist() for k in range(len(weights))]
-            for row in range(len(pdf)):
-                length, found = 0, {}
-                for weight, texts in zip(weights, columns):
-                    for word, n in Counter(T.TOKENS.findall(texts[row])).items():
-                        got = seen.get(word)
-                        if got is None:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            got = T.word_terms(word.lower())
-                            got = seen[word] = (len(got), got if wanted is None else [t for t in got if t in wanted])
-                        length += n * got[0]
-                        for t in got[1]:
-                            found[t] = found.get(t, 0.0) + n * weight
-                terms.append(None)
-                fs.append(0.0)
-                terms += found
-                fs += found.values()
+            for row, texts in enumerate(zip(*(pdf[f"text{k}"].tolist() for k in range(len(weights))))):
+                length, found = counter.count(texts)
+                terms += [None, *found]
+                fs += [0.0, *found.values()]
                 at += [row] * (len(found) + 1)
                 lengths.append(length)
             at = np.array(at, dtype=np.int64)
             yield pd.DataFrame({**{c: pdf[c].to_numpy()[at] for c in kept}, "term": terms, "f": fs, "length": np.array(lengths, dtype=np.int64)[at]})
 
-    texts = [F.coalesce(c, F.lit("")).alias(f"text{k}") for k, (c, _) in enumerate(fields.values())]
-    return chunks.select(*kept, *texts).mapInPandas(count, f"{_kinds(chunks, *kept)}, term string, f double, length bigint")
+    return chunks.select(*kept, *_texts(fields)).mapInPandas(count, f"{_kinds(chunks, *kept)}, term string, f double, length bigint")
 
 
-def _kinds(df: DataFrame, *columns: str) -> str:
-    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+def bm25_ranked(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: DataFrame, query_key: str, pool: int, group: str | None = None, block: int = 8192) -> DataFrame:
+    """(query key, key, score, rank): the best ``pool`` rows of each query by BM25 with weighted term frequencies, rounded to 6 digits, equal scores by key.
 
+    ``terms`` has (query key, term), and ``group`` if only rows of the query's group are searched. The terms of the
+    queries are numbered if they are few enough to be sent to every task (SENT_TERMS); one pass then counts
+    them in all rows, another scores the rows for a block of queries, and a task carries the best of each query.
+    More terms meet the rows by joins.
+    """
+    spark, kept = chunks.sparkSession, [key, group] if group else [key]
+    wanted = sorted(r.term for r in terms.select("term").distinct().limit(SENT_TERMS + 1).collect())
+    if len(wanted) > SENT_TERMS:
+        return ranked(_bm25_joined(chunks, key, fields, terms, query_key, group), query_key, key, pool)
+    weights, share = [w for _, w in fields.values()], spark.sparkContext.broadcast({t: i for i, t in enumerate(wanted)})
 
-def bm25(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: DataFrame, query_key: str, group: str | None = None) -> DataFrame:
-    """(query key, key, score): BM25 with weighted term frequencies, rounded to 6 digits; rows without a common term are left out.
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = _Counter(weights, share.value.get)
+        for pdf in batches:
+            rows = [counter.count(texts) for texts in zip(*(pdf[f"text{k}"].tolist() for k in range(len(weights))))]
+            yield pdf[kept].assign(length=[n for n, _ in rows], terms=[list(x) for _, x in rows], fs=[list(x.values()) for _, x in rows])
+
+    counted = materialise(chunks.select(*kept, *_texts(fields)).mapInPandas(count, f"{_kinds(chunks, *kept)}, length bigint, terms array<int>, fs array<double>"))
+    total = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    n, avgdl = total.n, total.length / max(1, total.n) or 1.0
+    df = np.zeros(len(wanted))
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each term that was sent
+        df[r.t] = r["count"]
+    idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+    number = {t: i for i, t in enumerate(wanted)}
+    kinds = f"{_kinds(terms, query_key)}, {_kinds(chunks, key)}, score double"
 
-    ``terms`` has (query key, term), and ``group`` if only rows of the query's group are searched. Rows keep only terms of the queries: in the pass that counts them if the
-    terms are few enough to be sent to every task (SENT_TERMS), by a join otherwise.
-    """
-    wanted = [r.term for r in terms.select("term").distinct().limit(SENT_TERMS + 1).collect()]
-    few = len(wanted) <= SENT_TERMS
-    posted = postings(chunks, key, fields, frozenset(wanted) if few else None, group)
-    if not few:
-        posted = materialise(posted)
-        posted = posted.join(terms.select("term").distinct(), "term", "left_semi").unionByName(posted.where("term is null"))
-    posted = materialise(posted)
+    def run(held: list) -> DataFrame:
+        at = np.array([number[t] for r in held for t in r.terms], dtype=np.int64)
+        who = np.repeat(np.arange(len(held)), [len(r.terms) for r in held])
+        order = np.argsort(at, kind="stable")
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held]) if group else None, np.searchsorted(at[order], np.arange(len(wanted) + 1)), who[order], idf))
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, groups, start, asking, weight = sent.value
+
+            def scores() -> Scores:
+                step = max(1, 4_000_000 // len(ids))
+                for pdf in (x.iloc[i : i + step] for x in batches for i in range(0, len(x), step)):
+                    sizes = [len(x) for x in pdf["terms"]]
+                    out = np.full((len(pdf), len(ids)), -1.0)
+                    if sum(sizes):
+                        row, t, f = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["fs"].to_numpy())
+                        part = weight[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * pdf["length"].to_numpy()[row] / avgdl))
+                        count = start[t + 1] - start[t]
+                        each = np.repeat(start[t] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+                        cell = np.repeat(row * len(ids), count) + asking[each]
+                        sums = np.bincount(cell, weights=np.repeat(part, count), minlength=out.size).reshape(out.shape)
+                        out = np.where(sums > 0, np.round(sums, 6), -1.0)
+                        if group:
+                            out[pdf[group].to_numpy()[:, None] != groups] = -1
+                    yield pdf[key].to_numpy(), out
+
+            yield from _best(ids, scores(), query_key, key, pool)
+
+        return counted.mapInPandas(task, kinds)
+
+    columns = [query_key, group] if group else [query_key]
+    out, held = spark.createDataFrame([], kinds), []
+    for r in terms.groupBy(*columns).agg(F.collect_set("term").alias("terms")).toLocalIterator():
+        if len(held) == block:
+            out, held = out.unionByName(run(held)), []
+        held.append(r)
+    return ranked(out.unionByName(run(held)) if held else out, query_key, key, pool)
+
+
+def _bm25_joined(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, float]], terms: DataFrame, query_key: str, group: str | None) -> DataFrame:
+    """(query key, key, score) of all rows that share a term with the query, by joins."""
+    posted = materialise(postings(chunks, key, fields, group))
     total = posted.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-    n, avgdl = total.n, total.length / max(1, total.n)
-    held = posted.where("term is not null")
+    n, avgdl = total.n, total.length / max(1, total.n) or 1.0
+    held = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     on = ["term", group] if group else ["term"]
-    asked = terms.join(df, "term").select(query_key, *on, idf.alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl or 1.0)))
-    return held.join(F.broadcast(asked) if few else asked, on).groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+    asked = terms.distinct().join(df, "term").select(query_key, *on, idf.alias("idf"))
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.lit(avgdl)))
+    return held.join(asked, on).groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, query_key: str, key: str, pool: int) -> DataFrame:
@@ -171,34 +240,36 @@ def dense_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str,
 
     A task carries the best rows of each query through all its rows and gives ``pool`` of each at the end.
     """
-    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
-
-    def best(ids: np.ndarray, scores: Scores) -> Iterator[pd.DataFrame]:
-        bar = np.zeros(len(ids))
-        q, k, x, held = [], [], [], 0
-
-        def prune() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            qs, ks, xs = np.concatenate(q), np.concatenate(k), np.concatenate(x)
-            order = np.lexsort((ks, -xs, qs))
-            qs, ks, xs = qs[order], ks[order], xs[order]
-            place = np.arange(len(qs)) - np.searchsorted(qs, qs)
-            last = place == pool - 1
-            bar[qs[last]] = xs[last]
-            keep = place < pool
-            return qs[keep], ks[keep], xs[keep]
-
-        for keys, part in scores:
-            i, j = np.nonzero((part >= bar) & (part > 0))
-            q.append(j), k.append(keys[i]), x.append(part[i, j])
-            held += len(j)
-            if held > 4 * pool * len(ids):
-                qs, ks, xs = prune()
-                q, k, x, held = [qs], [ks], [xs], len(qs)
-        if held:
+    positive = lambda ids, scores: _best(ids, ((keys, np.where(part > 0, part, -1.0)) for keys, part in scores), query_key, key, pool)
+    kinds = f"{_kinds(queries, query_key)}, {_kinds(rows, key)}, score double"
+    return ranked(dense_map(queries, query_key, rows, key, kinds, positive, group), query_key, key, pool)
+
+
+def _best(ids: np.ndarray, scores: Scores, query_key: str, key: str, pool: int) -> Iterator[pd.DataFrame]:
+    """The best ``pool`` rows of each query among all rows of a task, equal scores by key; negative scores don't count."""
+    bar = np.zeros(len(ids))
+    q, k, x, held = [], [], [], 0
+
+    def prune() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        qs, ks, xs = np.concatenate(q), np.concatenate(k), np.concatenate(x)
+        order = np.lexsort((ks, -xs, qs))
+        qs, ks, xs = qs[order], ks[order], xs[order]
+        place = np.arange(len(qs)) - np.searchsorted(qs, qs)
+        last = place == pool - 1
+        bar[qs[last]] = xs[last]
+        keep = place < pool
+        return qs[keep], ks[keep], xs[keep]
+
+    for keys, part in scores:
+        i, j = np.nonzero(part >= bar)
+        q.append(j), k.append(keys[i]), x.append(part[i, j])
+        held += len(j)
+        if held > 4 * pool * len(ids):
             qs, ks, xs = prune()
-            yield pd.DataFrame({query_key: ids[qs], key: ks, "score": xs})
-
-    return ranked(dense_map(queries, query_key, rows, key, kinds, best, group), query_key, key, pool)
+            q, k, x, held = [qs], [ks], [xs], len(qs)
+    if held:
+        qs, ks, xs = prune()
+        yield pd.DataFrame({query_key: ids[qs], key: ks, "score": xs})
 
 
 def sign_ranked(queries: DataFrame, query_key: str, rows: DataFrame, key: str, pool: int, candidates: int) -> DataFrame:

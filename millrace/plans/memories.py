@@ -126,7 +126,7 @@ def w04_memory_rank(spark: SparkSession, base: str) -> DataFrame:
     c = read_table(spark, base, "memory_curation_decisions").select("project_id", "candidate_id", F.coalesce(F.get_json_object("candidate_json", "$.rationale"), F.lit("")).alias("q")).distinct()
     terms = c.select("project_id", "candidate_id", F.explode(T.query_terms(F.col("q"), limit=None, stop_words=False, camel=False)).alias("term"))
     fields = {"content": (F.col("content"), 1.0), "tags": (F.col("tags_json"), 1.5)}
-    lexical = R.ranked(R.bm25(m, "memory_id", fields, terms, "candidate_id", "project_id"), "candidate_id", "memory_id", 20)
+    lexical = R.bm25_ranked(m, "memory_id", fields, terms, "candidate_id", 20, "project_id")
     qv = R.hashed_vectors(c, "candidate_id", F.col("q"), DIM, "project_id")
     mv = R.hashed_vectors(m, "memory_id", F.col("content"), DIM, "project_id")
     dense = R.dense_ranked(qv, "candidate_id", mv, "memory_id", 20, "project_id")

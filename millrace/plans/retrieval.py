@@ -118,7 +118,7 @@ def _terms(spark: SparkSession, base: str) -> DataFrame:
 
 def lexical(spark: SparkSession, base: str) -> DataFrame:
     """The BM25 rank list of every query."""
-    return R.ranked(R.bm25(_chunks(spark, base), "doc_id", _fields(), _terms(spark, base), "item_id"), "item_id", "doc_id", POOL)
+    return R.bm25_ranked(_chunks(spark, base), "doc_id", _fields(), _terms(spark, base), "item_id", POOL)
 
 
 def _dense(spark: SparkSession, base: str, query_key: str, key: str) -> tuple[DataFrame, str, DataFrame, str]:

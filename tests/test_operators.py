@@ -243,10 +243,11 @@ def test_terms_of_batches_are_those_of_columns(spark):
 def test_terms_beyond_what_is_sent_are_joined(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha gamma"), (3, None)], "d int, t string")
     terms = spark.createDataFrame([(7, "alpha"), (7, "gamma"), (8, "delta")], "q int, term string")
-    run = lambda: {(r.q, r.d, r.score) for r in R.bm25(docs, "d", {"t": (F.col("t"), 1.0)}, terms, "q").collect()}
+    run = lambda **k: {(r.q, r.d, r.score, r["rank"]) for r in R.bm25_ranked(docs, "d", {"t": (F.col("t"), 1.0)}, terms, "q", 5, **k).collect()}
     sent = run()
+    assert run(block=1) == sent and {(q, d) for q, d, *_ in sent} == {(7, 1), (7, 2)}
     monkeypatch.setattr(R, "SENT_TERMS", 1)
-    assert run() == sent and {(q, d) for q, d, _ in sent} == {(7, 1), (7, 2)}
+    assert run() == sent
 
 
 def test_dense_ranking_against_brute_force(spark):
