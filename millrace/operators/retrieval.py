@@ -109,30 +109,39 @@ def bm25_ranked(chunks: DataFrame, key: str, fields: dict[str, tuple[Column, flo
     kinds = f"{_kinds(terms, query_key)}, {_kinds(chunks, key)}, score double"
 
     def run(held: list) -> DataFrame:
-        at = np.array([number[t] for r in held for t in r.terms], dtype=np.int64)
+        # A term is asked by the queries of a group: one key for both.
+        groups = {g: i for i, g in enumerate(sorted({r[1] for r in held}))} if group else {None: 0}
+        asked = np.array([number[t] * len(groups) + groups[r[1] if group else None] for r in held for t in r.terms], dtype=np.int64)
         who = np.repeat(np.arange(len(held)), [len(r.terms) for r in held])
-        order = np.argsort(at, kind="stable")
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held]), np.array([r[1] for r in held]) if group else None, np.searchsorted(at[order], np.arange(len(wanted) + 1)), who[order], idf))
+        order = np.argsort(asked, kind="stable")
+        keys, start = np.unique(asked[order], return_index=True)
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in held]), groups, keys, start, np.diff(np.append(start, len(asked))), who[order], idf))
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, groups, start, asking, weight = sent.value
+            ids, groups, keys, start, many, asking, weight = sent.value
 
             def scores() -> Scores:
-                step = max(1, 4_000_000 // len(ids))
-                for pdf in (x.iloc[i : i + step] for x in batches for i in range(0, len(x), step)):
-                    sizes = [len(x) for x in pdf["terms"]]
-                    out = np.full((len(pdf), len(ids)), -1.0)
-                    if sum(sizes):
-                        row, t, f = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["fs"].to_numpy())
-                        part = weight[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * pdf["length"].to_numpy()[row] / avgdl))
-                        count = start[t + 1] - start[t]
-                        each = np.repeat(start[t] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
-                        cell = np.repeat(row * len(ids), count) + asking[each]
-                        sums = np.bincount(cell, weights=np.repeat(part, count), minlength=out.size).reshape(out.shape)
-                        out = np.where(sums > 0, np.round(sums, 6), -1.0)
-                        if group:
-                            out[pdf[group].to_numpy()[:, None] != groups] = -1
-                    yield pdf[key].to_numpy(), out
+                for pdf in batches:
+                    sizes = np.array([len(x) for x in pdf["terms"]])
+                    if not sizes.sum():
+                        continue
+                    row, t, f = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["fs"].to_numpy())
+                    code = np.array([groups.get(g, -1) for g in pdf[group]]) if group else np.zeros(len(pdf), dtype=np.int64)
+                    key_of = t.astype(np.int64) * len(groups) + code[row]
+                    at = np.minimum(np.searchsorted(keys, key_of), len(keys) - 1)
+                    met = (keys[at] == key_of) & (code[row] >= 0)
+                    row, t, f, at = row[met], t[met], f[met], at[met]
+                    part = weight[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * pdf["length"].to_numpy()[row] / avgdl))
+                    # Rows are taken together as long as their scores and what adds up to them stay within a fixed memory.
+                    cost = np.bincount(row, weights=many[at], minlength=len(pdf)) + len(ids)
+                    bounds = np.flatnonzero(np.diff(np.cumsum(cost) // 4_000_000)) + 1
+                    for lo, hi in zip(np.append(0, bounds), np.append(bounds, len(pdf))):
+                        own = slice(*np.searchsorted(row, (lo, hi)))
+                        count = many[at[own]]
+                        each = np.repeat(start[at[own]] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+                        cell = np.repeat((row[own] - lo) * len(ids), count) + asking[each]
+                        sums = np.bincount(cell, weights=np.repeat(part[own], count), minlength=(hi - lo) * len(ids)).reshape(hi - lo, len(ids))
+                        yield pdf[key].to_numpy()[lo:hi], np.where(sums > 0, np.round(sums, 6), -1.0)
 
             yield from _best(ids, scores(), query_key, key, pool)
 

@@ -246,8 +246,11 @@ def test_terms_beyond_what_is_sent_are_joined(spark, monkeypatch):
     run = lambda **k: {(r.q, r.d, r.score, r["rank"]) for r in R.bm25_ranked(docs, "d", {"t": (F.col("t"), 1.0)}, terms, "q", 5, **k).collect()}
     sent = run()
     assert run(block=1) == sent and {(q, d) for q, d, *_ in sent} == {(7, 1), (7, 2)}
+    grouped = lambda df, **g: df.withColumn("g", F.when(F.col(df.columns[0]) == list(g.values())[0], "x").otherwise("y"))
+    within = lambda: {(r.q, r.d) for r in R.bm25_ranked(grouped(docs, d=1), "d", {"t": (F.col("t"), 1.0)}, grouped(terms, q=8).union(terms.where("q = 7").selectExpr("8 as q", "term", "'x' as g")), "q", 5, "g").collect()}
+    assert within() == {(7, 2), (8, 1)}
     monkeypatch.setattr(R, "SENT_TERMS", 1)
-    assert run() == sent
+    assert run() == sent and within() == {(7, 2), (8, 1)}
 
 
 def test_dense_ranking_against_brute_force(spark):
