@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """For every chunk vector its 5 most similar ones, ranked."""
-    return vectors.nearest_vectors(_vectors(spark, base, "chunk"), k=5).select("id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+    return vectors.nearest_vectors(_vectors(spark, base, "chunk"), k=5).select("id", "other", F.round("cosine", 3).alias("cosine"), "rank")
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -149,6 +149,10 @@ def oracle_sql() -> dict[str, str]:
     memory = _VECTORS.format(id="memory_id", vector="try_cast(embedding_json as double[])", table="memories")
     return {
         "p1_found": f"with c as ({chunk}), m as ({memory}) {_PAIRS.format(kind='chunk', name='c')} union {_PAIRS.format(kind='memory', name='m')}",
+        "p1_neighbours": f"""with c as ({chunk})
+            select id, other, round(round(s, 6), 3) as cosine, rank::int as rank from (
+              select x.id, y.id as other, list_cosine_similarity(x.v, y.v) as s, row_number() over (partition by x.id order by round(list_cosine_similarity(x.v, y.v), 6) desc, y.id) as rank
+              from c x join c y on x.model = y.model and x.id <> y.id) where rank <= 5""",
         "p4_found": r"""
             with d as (select memory_id as id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from memories where status is distinct from 'forgotten' and memory_id is not null),
                  n as (select id, len(w) as n from d where len(w) > 0),

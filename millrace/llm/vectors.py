@@ -134,7 +134,7 @@ def similar_pairs(vectors: DataFrame, k: int = 5, min_cos: float = 0.0, pivots:
 def nearest_vectors(vectors: DataFrame, k: int = 5, block: int = 16384) -> DataFrame:
     """The k most similar vectors of the same model for every vector, exactly and whatever the cosine: (id, other, cosine, rank).
 
-    As :func:`similar_pairs` without its index and its floor: all classes of a model are compared, in tasks of
+    As :func:`similar_pairs` without its index and its floor, cosines rounded to 6 digits before they are ranked: all classes of a model are compared, in tasks of
     two blocks of about ``block`` classes each. Work grows with the square of the largest model, memory of a
     task does not. A vector has fewer than k rows only if its model has no more vectors.
     """
@@ -186,6 +186,7 @@ def _exact_nearest(v: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> Itera
         exact = np.empty(len(a))
         for i in range(0, len(a), 100_000):
             exact[i : i + 100_000] = np.einsum("ij,ij->i", v[a[i : i + 100_000]].astype(np.float64), v[b[i : i + 100_000]].astype(np.float64))
+        exact = np.round(exact, 6)
         order = np.lexsort((b, -exact, a))
         a, b, exact = a[order], b[order], exact[order]
         keep = np.arange(len(a)) - np.searchsorted(a, a) < k
