@@ -61,6 +61,16 @@ def feature_hash(df: DataFrame, key: str, words: Column, dimensions: int = 256)
     return df.select(key, words.alias("words")).mapInPandas(embed, f"{key} {kind}, embedding array<double>")
 
 
+def literal(a: Column) -> Column:
+    """A vector as a text in brackets, its numbers with 12 significant digits; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else "[" + ",".join("%.12g" % x for x in v) + "]" for v in vectors], dtype=object)
+
+    return run(F.transform(a, lambda x: x.cast("double")))
+
+
 def place_and_sign(word: str, dimensions: int) -> tuple[int, int]:
     """A feature's place by the first digits of its MD5 and its sign by the eighth."""
     digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()

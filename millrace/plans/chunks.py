@@ -70,6 +70,16 @@ def d10_api_changes(spark: SparkSession, base: str) -> DataFrame:
     return both.select("project_id", "path", "name", change.alias("change"))
 
 
+@query()
+def d10_risk(spark: SparkSession, base: str) -> DataFrame:
+    """The risk of the changes to each Python file: high where a public definition is removed or changed, low where some are only added or private ones differ, else none."""
+    c = d10_api_changes(spark, base)
+    public = ~F.exists(F.split("name", r"\."), lambda s: s.startswith("_"))
+    level = F.when(F.col("change").isin("removed", "changed") & public, 2).when(F.col("change") != "same", 1).otherwise(0)
+    risk = F.element_at(F.array(F.lit("none"), F.lit("low"), F.lit("high")), F.max(level) + 1)
+    return c.groupBy("project_id", "path").agg(risk.alias("risk"), *(F.count_if(F.col("change") == k).alias(k) for k in ("added", "removed", "changed")))
+
+
 @query()
 def d15_top_symbols(spark: SparkSession, base: str) -> DataFrame:
     """Public top-level symbols of the Python drafts."""
@@ -94,6 +104,12 @@ def f17_unified_diff(spark: SparkSession, base: str) -> DataFrame:
     return pairs.mapInPandas(run, "memory_id string, before string, diff string, ratio double")
 
 
+@query("select m.memory_id, p.memory_id as before, coalesce(m.content = p.content, false) as same from memories m join memories p on m.supersedes_memory_id = p.memory_id")
+def f16_same_text(spark: SparkSession, base: str) -> DataFrame:
+    """Whether records say the same as those they replaced: a similarity ratio of 0.99 or more (in SQL: equal, as the tables hold none between)."""
+    return f17_unified_diff(spark, base).select("memory_id", "before", (F.col("ratio") >= 0.99).alias("same"))
+
+
 @query("select project_id, path, chunk_id, start_line, coalesce(lead(start_line) over (partition by project_id, path order by start_line, end_line, chunk_id) - 1, end_line)::int as upto, case when lead(start_line) over (partition by project_id, path order by start_line, end_line, chunk_id) is not null then greatest(0, lead(start_line) over (partition by project_id, path order by start_line, end_line, chunk_id) - end_line - 1)::int end as gap from rag_chunks")
 def w14_gaps(spark: SparkSession, base: str) -> DataFrame:
     """Where the next chunk of the file begins and how many lines lie between."""

@@ -301,6 +301,12 @@ def a04_norms(spark: SparkSession, base: str) -> DataFrame:
     return v.select("chunk_id", F.size("embedding").alias("dims"), F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("square"))
 
 
+@query("select chunk_id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.12g}', x::double)), ',') || ']' as literal from rag_chunks where embedding is not null")
+def f35_vector_literals(spark: SparkSession, base: str) -> DataFrame:
+    """The stored vectors as texts."""
+    return read_table(spark, base, "rag_chunks").where("embedding is not null").select("chunk_id", V.literal(F.col("embedding")).alias("literal"))
+
+
 @query("select chunk_id from rag_chunks where embedding is not null and len(list_filter(embedding, lambda x: x <> 0)) > 0")
 def p09_nonzero_vectors(spark: SparkSession, base: str) -> DataFrame:
     """Chunks whose vector is not all zero."""
