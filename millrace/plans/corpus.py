@@ -137,13 +137,20 @@ def p05_unsafe_globs(spark: SparkSession, base: str) -> DataFrame:
     return g.select("glob", ((F.col("glob") == "") | F.col("glob").startswith("/") | F.col("glob").contains("..") | (F.length("glob") > 200)).alias("unsafe"))
 
 
-@query("with e as (select item_id, unnest(relevant_paths) || '/../x/./y' as path from eval_cases) select item_id, path, regexp_replace(path, '/[^/]+$', '') || '' as ignored, array_to_string(list_filter(list_concat(string_split(replace(path, '/../x/./y', ''), '/')[1:-2], ['x', 'y']), lambda s: s <> ''), '/') as resolved from e")
+# Relative parts that are appended: some stay inside, some leave the root.
+_PARTS = ["", "/../x/./y", "//z", "/../../../../../../..", "/../../../../../../../../q"]
+
+
+@query(f"""with e as (select distinct item_id, p || part as path from (select item_id, unnest(relevant_paths) as p from eval_cases), (select unnest({_PARTS}) as part)),
+  f as (select item_id, path, list_reduce(list_transform(string_split(path, '/'), lambda x: [x]), lambda s, x: case when s is null then null when x[1] in ('', '.') then s when x[1] = '..' then case when len(s) > 0 then s[1:len(s) - 1] end else list_concat(s, x) end, []::varchar[]) as r from e)
+  select item_id, path, array_to_string(r, '/') as resolved, r is not null as inside from f""")
 def p06_resolved_paths(spark: SparkSession, base: str) -> DataFrame:
-    """Paths with their ``.`` and ``..`` resolved by a fold over the segments; null where one would leave the root."""
-    e = read_table(spark, base, "eval_cases").select("item_id", F.explode("relevant_paths").alias("p")).select("item_id", F.concat("p", F.lit("/../x/./y")).alias("path"))
+    """Paths with their ``.`` and ``..`` resolved by a fold over the segments, and whether they stay inside the root; null where one would leave it."""
+    parts = F.array(*map(F.lit, _PARTS))
+    e = read_table(spark, base, "eval_cases").select("item_id", F.explode("relevant_paths").alias("p")).select("item_id", F.explode(F.transform(parts, lambda x: F.concat("p", x))).alias("path")).distinct()
     none = F.lit(None).cast("array<string>")
-    fold = F.aggregate(F.split("path", "/"), F.array().cast("array<string>"), lambda s, x: F.when(x.isin("", "."), s).when(x == "..", F.when(F.size(s) > 0, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(none)).otherwise(F.concat(s, F.array(x))))
-    return e.select("item_id", "path", F.regexp_replace("path", "/[^/]+$", "").alias("ignored"), F.array_join(fold, "/").alias("resolved"))
+    fold = F.aggregate(F.split("path", "/"), F.array().cast("array<string>"), lambda s, x: F.when(s.isNull(), none).when(x.isin("", "."), s).when(x == "..", F.when(F.size(s) > 0, F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(none)).otherwise(F.concat(s, F.array(x))))
+    return e.withColumn("r", fold).select("item_id", "path", F.array_join("r", "/").alias("resolved"), F.col("r").isNotNull().alias("inside"))
 
 
 @query("select draft_id, path is null or path = '' or path like '/%' or contains(path, chr(92)) or len(list_filter(string_split(path, '/'), lambda s: s in ('', '.', '..'))) > 0 as invalid from chunk_drafts")

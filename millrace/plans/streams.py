@@ -24,7 +24,7 @@ def x03_keyed_fold(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*)::bigint as n, round(sum(value), 6) as total from events group by 1, 2")
-def x04_windowed(spark: SparkSession, base: str) -> DataFrame:
+def ext_windowed(spark: SparkSession, base: str) -> DataFrame:
     """Events by hour and type with a watermark (extension)."""
     events = jobs.table_stream(spark, base, "events")
     out = jobs.run_to_table(jobs.hourly(events, "ts", "1 hour"), mode="complete")
