@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 # Public conventions for vendored directories and for the names of tool output.
 VENDOR_DIRS = re.compile(r"(?i)(?:^|/)(?:vendor|third[_-]?party|node_modules|bower_components|site-packages|dist-packages|\.?venv|virtualenv|_vendor|godeps|carthage|pods|\.yarn|jspm_packages)/|^(?:externals?|extern|deps)/")
 GENERATED_NAMES = re.compile(r"(?i)(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|pdm\.lock|uv\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock|pipfile\.lock|[^/]*(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|\.pb\.cc|\.pb\.h|_parsetab\.py|parsetab\.py|lextab\.py|\.lock\.json|\.resolved\.json|\.min\.(?:js|css|mjs)|\.bundle\.js|[-.]lock\.ya?ml|\.map|\.g\.(?:dart|py|js)|\.generated\.\w+|_generated\.\w+|\.designer\.cs))$")
@@ -236,8 +238,8 @@ def mine_signs(labelled: DataFrame, least_files: int = 3, least_projects: int =
     by_project = each.groupBy("sign", "project").agg(F.count("*").alias("n"), marked("generated").alias("g"), marked("vendored").alias("v"))
     some = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
     total = by_project.groupBy("sign").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("v").alias("v"), some("g").alias("pg"), some("v").alias("pv"))
-    kind = lambda generated, files, projects: total.select("sign", "n", F.lit(generated).alias("generated"), F.col(files).alias("files"), F.col(projects).alias("projects"))
-    kinds = kind(True, "g", "pg").unionByName(kind(False, "v", "pv"))
+    kind = lambda generated, files, projects: F.struct(F.lit(generated).alias("generated"), F.col(files).alias("files"), F.col(projects).alias("projects"))
+    kinds = total.select("sign", "n", F.inline(F.array(kind(True, "g", "pg"), kind(False, "v", "pv"))))
     return kinds.where((F.col("files") >= least_files) & (F.col("projects") >= least_projects) & (F.col("files") >= least_share * F.col("n"))).select("sign", "generated", "files")
 
 
@@ -246,10 +248,11 @@ def not_handwritten(df: DataFrame, id_col: str, project_col: str, path_col: str,
 
     An attribute file is a row of the same project whose file name is ``.gitattributes``; what it declares
     comes first (kind ``declared``), also for the worse: a path marked as not generated is none, one marked as not
-    vendored likewise. From the declared projects the signs of such files are mined (:func:`mine_signs`, the
-    ``most_signs`` with the most files) and applied to all files about which nothing is declared, beside public
-    conventions. Attribute files themselves count as hand-written. Null paths and texts are judged by what is
-    left; null ids give no rows; repeated rows repeat; an empty table gives no rows.
+    vendored likewise. From the declared projects the signs of such files are mined (:func:`mine_signs`) and all
+    of them applied to all files about which nothing is declared, beside public conventions: up to ``most_signs``
+    are sent to every task, more meet the files by a join, with the same rows. Attribute files themselves count as
+    hand-written. Null paths and texts are judged by what is left; null ids give no rows; repeated rows repeat; an
+    empty table gives no rows.
     """
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(project_col).cast("string").alias("project"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marks = src.where("path = '.gitattributes' or path like '%/.gitattributes'").select("project", F.regexp_replace("path", "/?\\.gitattributes$", "").alias("folder"), F.coalesce("text", F.lit("")).alias("marks"))
@@ -269,11 +272,24 @@ def not_handwritten(df: DataFrame, id_col: str, project_col: str, path_col: str,
             yield pd.DataFrame(rows, columns=["project", "generated", "vendored", "signs"])
 
     labelled = joined.where("files is not null").mapInPandas(label, "project string, generated boolean, vendored boolean, signs array<string>")
-    mined = mine_signs(labelled).orderBy(F.desc("files"), "sign", "generated").limit(most_signs).collect()
-    share = df.sparkSession.sparkContext.broadcast({r.sign: "generated" if r.generated else "vendored" for r in mined})
+    mined = materialise(mine_signs(labelled))
+    if mined.count() > most_signs:
+        return _joined_with_signs(joined, mined)
+    by_sign = mined.groupBy("sign").agg(F.max("generated").alias("generated"), F.max(~F.col("generated")).alias("vendored"))
+    share = df.sparkSession.sparkContext.broadcast({r.sign: (r.generated, r.vendored) for r in by_sign.collect()})
     return joined.mapInPandas(lambda batches: _scan(batches, _Rules(), share.value), "id bigint, kind string, reason string")
 
 
+def _joined_with_signs(joined: DataFrame, mined: DataFrame) -> DataFrame:
+    """The rows of :func:`not_handwritten` where the mined signs are too many for a task: each sign of a file that nothing else decides meets them by a join."""
+    scanned = joined.mapInPandas(lambda batches: _scan(batches, _Rules(), None), "id bigint, kind string, reason string, generated boolean, vendored boolean, signs array<string>")
+    scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()))
+    each = scanned.where("signs is not null").select("row", "id", "generated", "vendored", F.explode("signs").alias("sign"))
+    met = each.join(mined.select("sign", F.col("generated").alias("as_generated")), "sign").where("if(as_generated, generated, vendored)")
+    found = met.groupBy("row", "id").agg(F.max("as_generated").alias("as_generated"))
+    return scanned.where("kind is not null").select("id", "kind", "reason").unionByName(found.select("id", F.expr("if(as_generated, 'generated', 'vendored')").alias("kind"), F.lit("mined").alias("reason")))
+
+
 class _Rules:
     """The compiled rules of the projects that a task meets."""
 
@@ -290,9 +306,14 @@ class _Rules:
         return self.held[project]
 
 
-def _scan(batches: Iterator[pd.DataFrame], known: _Rules | None, mined: dict[str, str]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame], known: _Rules | None, mined: dict[str, tuple[bool, bool]] | None) -> Iterator[pd.DataFrame]:
+    """(id, kind, reason) by ``mined`` signs, (generated, vendored) each.
+
+    If they are None, the files of which only signs can tell follow with a null kind, the kinds that they may be
+    and their signs.
+    """
     for pdf in batches:
-        rows = []
+        rows, undecided = [], []
         for k, (i, path, text) in enumerate(zip(pdf["id"], pdf["path"], pdf["text"])):
             if path and path.rsplit("/", 1)[-1] == ".gitattributes":
                 continue
@@ -301,13 +322,21 @@ def _scan(batches: Iterator[pd.DataFrame], known: _Rules | None, mined: dict[str
                 rows.append((i, "declared", "attributes"))
                 continue
             got = judge(path, text)
-            if not got and mined and path:
-                kinds = {mined[x] for x in signs(path, text) if x in mined}
-                got = next(((kind, "mined") for kind in ("generated", "vendored") if kind in kinds and said.get(kind == "generated") is None), None)
+            if not got and path and (mined or mined is None):
+                may = said.get(True) is None, said.get(False) is None
+                if mined is None:
+                    if any(may):
+                        undecided.append((i, None, None, *may, sorted(signs(path, text))))
+                    continue
+                kinds = [mined[x] for x in signs(path, text) if x in mined]
+                got = next(((kind, "mined") for k, kind in enumerate(("generated", "vendored")) if may[k] and any(x[k] for x in kinds)), None)
             # A mark that denies one kind leaves the other.
             if got and said.get(got[0] != "vendored") is None:
                 rows.append((i, *got))
-        yield pd.DataFrame(rows, columns=["id", "kind", "reason"])
+        if mined is None:
+            yield pd.DataFrame([(*r, None, None, None) for r in rows] + undecided, columns=["id", "kind", "reason", "generated", "vendored", "signs"])
+        else:
+            yield pd.DataFrame(rows, columns=["id", "kind", "reason"])
 
 
 def _small(files: DataFrame, limit: int = 4 << 20) -> bool:

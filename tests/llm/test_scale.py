@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import resource
 import time
@@ -40,6 +41,29 @@ def test_signs_are_mined_from_declared_projects_and_found_elsewhere(spark):
     assert provenance.not_handwritten(alone, "id", "p", "path", "t").count() == 0
 
 
+def test_mined_signs_count_beyond_the_number_sent_to_tasks(spark):
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 100_010)]
+    long = f"# {' '.join(words)}\nx = 1\n"
+    rows = [(1, "p", ".gitattributes", "wire/** linguist-generated\n"), (2, "q", ".gitattributes", "wire/** linguist-generated\n"), (3, "p", "wire/a.py", long), (4, "p", "wire/b.py", long), (5, "q", "wire/c.py", long), (6, "p", "app/d.py", "y = 1\n")]
+    rows += [(7, "new", "lib/first.py", f"# {' '.join(words[:4])}\ny = 1\n"), (8, "new", "lib/last.py", f"# {' '.join(words[-4:])}\ny = 1\n"), (9, "new", "lib/none.py", f"# {' '.join(words[3::-1])}\ny = 1\n")]
+    df = spark.createDataFrame(rows, "id long, p string, path string, t string")
+    got = sorted((r.id, r.kind, r.reason) for r in provenance.not_handwritten(df, "id", "p", "path", "t").collect())
+    assert got == [*((i, "declared", "attributes") for i in (3, 4, 5)), (7, "generated", "mined"), (8, "generated", "mined")]
+
+
+@pytest.mark.parametrize("most_signs", [0, 1, 100_000])
+def test_mined_signs_give_the_same_rows_sent_or_joined(spark, most_signs):
+    rows = declared_projects()
+    for p in range(6):  # files that bear both marks
+        rows.append((700 + p, f"p{p}", "both/.gitattributes", "*.py linguist-generated linguist-vendored\n"))
+        rows += [(710 + 4 * p + k, f"p{p}", f"both/m{p}{k}.py", "x = 1\n") for k in range(4)]
+    denies = [(800, "denies", ".gitattributes", "both/** -linguist-generated\nnone/** -linguist-generated -linguist-vendored\n"), (906, "denies", "both/a.py", "q = 1\n"), (907, "denies", "none/t_stub.py", "q = 1\n")]
+    held_out = [(900, "new", "src/wire/a.py", "q = 1\n"), (901, "new", "deep/copied/b.py", "q = 1\n"), (901, "new", "deep/copied/b.py", "q = 1\n"), (902, "new", "copied/t_stub.py", None), (903, None, "both/b.py", "q = 1\n"), (904, "new", "app/own.py", "q = 1\n"), (901, "new", "app/own.py", "q = 1\n"), (905, "new", "vendor/wire/a.py", "q = 1\n"), (908, "new", None, "q = 1\n"), (None, "new", "src/wire/a.py", "q = 1\n")]
+    df = spark.createDataFrame(rows + denies + held_out, "id long, p string, path string, t string")
+    got = sorted((r.id, r.kind, r.reason) for r in provenance.not_handwritten(df, "id", "p", "path", "t", most_signs=most_signs).collect() if r.id >= 900)
+    assert got == [(900, "generated", "mined"), (901, "vendored", "mined"), (901, "vendored", "mined"), (902, "generated", "mined"), (903, "generated", "mined"), (905, "vendored", "directory"), (906, "vendored", "mined")]
+
+
 def test_marks_are_taken_back_or_denied_one_by_one(spark):
     attributes = "vendor/** linguist-vendored\nvendor/a.py !linguist-vendored\n*_pb2.py linguist-vendored=false\nnode_modules/** linguist-vendored=false linguist-generated=false\n"
     rows = [(1, "p", ".gitattributes", attributes), (2, "p", "vendor/a.py", "x"), (3, "p", "vendor/b.py", "x"), (4, "p", "a_pb2.py", "x"), (5, "p", "node_modules/c.js", "x"), (6, "p", "lib/vendor/a.py", "x")]
